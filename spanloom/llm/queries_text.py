@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.overlap import overlap_counts, pair_columns, split_overlap
 from spanloom.llm.pieces import oversized, split_oversized
+from spanloom.llm.term_counts import judged_terms
 from spanloom.util import table
 
 
@@ -18,12 +20,41 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(p1_pieces(spark, sf_dir))
 
 
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its counts and verdict."""
+    return judged_terms(table(spark, sf_dir, "annotation"), table(spark, sf_dir, "tag_set"), table(spark, sf_dir, "term_limit"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that are too rare or too common."""
+    return p5_terms(spark, sf_dir).where("verdict is not null").select("field", "term", "verdict")
+
+
+def p5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of tokens, with their counts; SQL can say this part."""
+    return p5_terms(spark, sf_dir).where("field = 'token'").select("term", "occurrences", "texts", "verdict")
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap(table(spark, sf_dir, "annotation"), table(spark, sf_dir, "split_assign"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a training and an evaluation sentence that are equal or almost."""
+    return pair_columns(_overlap(spark, sf_dir))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their counts per split and source."""
+    return overlap_counts(_overlap(spark, sf_dir), table(spark, sf_dir, "text_meta"))
+
+
 POSITIONS = """
 positions AS (
   SELECT text_id, sent_idx, token_idx, arg_max(token, (edited_at, anno_id)) AS token, min(lang) AS lang
   FROM annotation WHERE text_id IS NOT NULL AND sent_idx IS NOT NULL AND token_idx IS NOT NULL GROUP BY ALL)"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_terms": p5_terms, "p5_tokens": p5_tokens, "p6_found": p6_found, "p6_counts": p6_counts}
 SQL = {
     "p1_found": """
 WITH places AS (SELECT DISTINCT text_id, sent_idx, token_idx FROM annotation),
@@ -32,4 +63,11 @@ sizes AS (
   SELECT text_id, sent_idx, count(*) AS n FROM places GROUP BY ALL
   UNION ALL SELECT text_id, 0, count(*) FROM places GROUP BY ALL)
 SELECT text_id, CAST(sent_idx AS INT) AS sent_idx FROM sizes JOIN langs USING (text_id) JOIN chunk_limit USING (lang) WHERE n > max_tokens""",
+    "p5_tokens": f"""
+WITH {POSITIONS.strip()},
+terms AS (SELECT text_id, trim(lower(nfc_normalize(token)), ' ') AS term FROM positions WHERE token IS NOT NULL),
+counts AS (SELECT term, count(*) AS occurrences, count(DISTINCT text_id) AS texts FROM terms GROUP BY 1)
+SELECT term, occurrences, texts,
+  CASE WHEN texts < min_texts THEN 'rare' WHEN texts > max_text_share * (SELECT count(DISTINCT text_id) FROM annotation) THEN 'common' END AS verdict
+FROM counts, term_limit WHERE field = 'token'""",
 }
