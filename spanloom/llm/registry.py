@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.llm import queries_text
+from spanloom.llm import queries_groups, queries_text
 
-MODULES = (queries_text,)
+MODULES = (queries_text, queries_groups)
 
 
 def queries() -> dict:
