@@ -27,7 +27,7 @@ def joined(rows):
 
 def test_groups_and_splits(spark):
     draw = random.Random(8)
-    rows = [(f"é{i}" if i % 9 else f"z{i}", draw.choice([None, "A-1", " a1", "A00", "?", f"a{draw.randint(2, 90)}"]) if i > 250 else draw.choice(["A 7", "a7"]), draw.choice([None, None, f"w{draw.randint(1, 60)}"])) for i in range(600)]
+    rows = [(f"é{i}" if i % 9 else f"z{i}", draw.choice([None, "A-1", " a1", "A00", "?", f"a{draw.randint(2, 900)}"]) if i > 210 else draw.choice(["A 7", "a7"]), draw.choice([None, None, f"w{draw.randint(1, 900)}"])) for i in range(600)]
     rows += [("é3", "A99", ""), ("é4", None, ""), ("z0", "A7", None), ("z0", "A7", None)]
     rows += [(f"chain{i + j}", None, f"chain-{i}") for i in range(60) for j in (0, 1)]
     df = spark.createDataFrame([(*r, 5, "k") for r in rows] + [(None, "A1", "w1", 5, "k")], META)
