@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.llm import queries_groups, queries_text
+from spanloom.llm import queries_groups, queries_text, queries_tokens
 
-MODULES = (queries_text, queries_groups)
+MODULES = (queries_text, queries_groups, queries_tokens)
 
 
 def queries() -> dict:
