@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from spanloom.util import lookup_rows
 
 #: Characters that end a value outside quotes and brackets.
-DELIMITERS = frozenset("|;,/&+¦\t\r\n  ")
+DELIMITERS = frozenset("|;,/&+¦\t\r\n \u00a0\u2009")
 QUOTES = frozenset("\"'")
 NUMBER = re.compile(r"[0-9]+")
 MOST = 2**31 - 1
