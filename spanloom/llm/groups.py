@@ -28,7 +28,7 @@ def tie_keys(text_meta: DataFrame) -> DataFrame:
     names no work. Rows without text_id are left out.
     """
     rows = text_meta.where("text_id is not null")
-    author = F.lower(F.regexp_replace("author_id", r"[\s ‐-―\-]", ""))
+    author = F.lower(F.regexp_replace("author_id", r"[\s\u00A0\u2009\u202F\u2010-\u2015\-]", ""))
     authors = rows.where(F.col("author_id").rlike("[1-9]")).select("text_id", F.concat(F.lit("a:"), author).alias("key"))
     works = rows.where("work_id is not null").select("text_id", F.concat(F.lit("w:"), "work_id").alias("key"))
     return authors.unionByName(works).distinct()

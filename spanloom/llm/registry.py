@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.llm import queries_groups, queries_text, queries_tokens
+from spanloom.llm import queries_groups, queries_pii, queries_text, queries_tokens
 
-MODULES = (queries_text, queries_groups, queries_tokens)
+MODULES = (queries_text, queries_groups, queries_tokens, queries_pii)
 
 
 def queries() -> dict:
