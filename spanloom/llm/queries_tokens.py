@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.mixing import mixture, reached
 from spanloom.llm.tokens import document_tokens, document_totals, encode_texts, token_totals, train_tokens
 from spanloom.util import table
 
@@ -36,5 +37,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_tokens": p7_tokens, "p7_totals": p7_totals, "p7_paths": p7_paths, "p8_ids": p8_ids}
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, with their repeats."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that it reaches."""
+    return reached(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+QUERIES = {"p7_tokens": p7_tokens, "p7_totals": p7_totals, "p7_paths": p7_paths, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
