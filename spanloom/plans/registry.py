@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import loading
+from spanloom.plans import loading, scores, spans
 
-MODULES = (loading,)
+MODULES = (loading, spans, scores)
 
 
 def queries() -> dict:
