@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import loading, scores, spans
+from spanloom.plans import folds, loading, scores, spans
 
-MODULES = (loading, spans, scores)
+MODULES = (loading, spans, scores, folds)
 
 
 def queries() -> dict:
