@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import folds, loading, scores, spans
+from spanloom.plans import folds, loading, scores, spans, words
 
-MODULES = (loading, spans, scores, folds)
+MODULES = (loading, spans, scores, folds, words)
 
 
 def queries() -> dict:
