@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCORES = ("exact_prec", "exact_rec", "exact_f1", "lenient_prec", "lenient_rec", "lenient_f1")
@@ -19,8 +20,8 @@ def match_frame(overlap: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[
     """Counts and ratios per label, and a row ``Overall`` of the sums with ratios of its own, for each group of ``by``.
 
     ``row_kind`` is label or overall. Counts of pairs follow the overlap join, where one span may have several partners; with count="spans"
-    a gold span counts once, exact before partial. A ratio over nothing is null. One pass of conditional sums over the union of three
-    counted tables, and one rollup of it.
+    a gold span counts once, exact before partial. A ratio over nothing is null. One union of three
+    counted tables is summed once, for labels and for all.
     """
     if count == "spans":
         rank = F.max(F.when(F.col("match_type") == "exact", 2).when(F.col("match_type") == "partial", 1).otherwise(0))
@@ -33,12 +34,13 @@ def match_frame(overlap: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[
     rows = rows.unionByName(gold.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("t")).select(*by, "label", "t", zero.alias("q"), zero.alias("e"), zero.alias("p")))
     rows = rows.unionByName(pred.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("q")).select(*by, "label", zero.alias("t"), "q", zero.alias("e"), zero.alias("p")))
     sums = [F.sum(c).cast("double").alias(n) for c, n in (("t", "test_freq"), ("q", "pred_freq"), ("e", "exact_freq"), ("p", "partial_freq"))]
-    per = rows.groupBy(*by, "label").agg(*sums)
-    whole = per.groupBy(*by).agg(*(F.sum(n).alias(n) for n in ("test_freq", "pred_freq", "exact_freq", "partial_freq")))
-    totals = whole.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("exact_freq").alias("__e"), F.col("partial_freq").alias("__p"))
-    both = per.withColumn("row_kind", F.lit("label")).unionByName(whole.withColumn("label", F.lit("Overall")).withColumn("row_kind", F.lit("overall")))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or [F.lit(True)]
-    joined = both.join(F.broadcast(totals) if not by else totals, on)
+    # one aggregation makes the rows of labels and of all labels; a window over those few rows brings the sums to each
+    level = F.grouping("label")
+    per = rows.groupingSets([[*map(F.col, by), F.col("label")], [*map(F.col, by)]], *by, "label").agg(level.alias("__all"), *sums)
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    whole = lambda c: F.max(F.when(F.col("__all") == 1, F.col(c))).over(group)
+    named = per.withColumn("__e", whole("exact_freq")).withColumn("__p", whole("partial_freq"))
+    joined = named.withColumn("label", F.when(F.col("__all") == 1, "Overall").otherwise(F.col("label"))).withColumn("row_kind", F.when(F.col("__all") == 1, "overall").otherwise("label"))
     e, p, t, q = (F.col(c) for c in ("exact_freq", "partial_freq", "test_freq", "pred_freq"))
     n = e + p
     out = joined.select(
@@ -52,12 +54,11 @@ def match_frame(overlap: DataFrame, gold: DataFrame, pred: DataFrame, by: tuple[
 
 def strict_lenient(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The scores of a match frame per label and overall, with the rows macro_avg (mean that skips nulls) and weight_avg (by the labels' share of matches)."""
-    rows = frame.select(*by, "label", "row_kind", *SCORES)
-    labels = frame.where("row_kind = 'label'")
-    macro = labels.groupBy(*by).agg(*(F.avg(c).alias(c) for c in SCORES)).select(*by, F.lit("macro_avg").alias("label"), F.lit("average").alias("row_kind"), *SCORES)
-    weight = labels.groupBy(*by).agg(*(F.coalesce(F.sum(F.col(c) * F.col(f"{c.split('_')[0]}_prop")), F.lit(0.0)).alias(c) for c in SCORES))
-    weight = weight.select(*by, F.lit("weight_avg").alias("label"), F.lit("average").alias("row_kind"), *SCORES)
-    return rows.unionByName(macro).unionByName(weight)
+    targets = F.when(F.col("row_kind") == "label", F.array(F.col("label"), F.lit("macro_avg"), F.lit("weight_avg"))).otherwise(F.array("label"))
+    rows = frame.select(*by, "row_kind", *SCORES, "exact_prop", "lenient_prop", F.posexplode(targets).alias("__i", "__to"))
+    kind = F.when(F.col("__i") > 0, "average").otherwise(F.col("row_kind"))
+    score = lambda c: F.when(F.col("label") == "macro_avg", F.avg(c)).when(F.col("label") == "weight_avg", F.coalesce(F.sum(F.col(c) * F.col(f"{c.split('_')[0]}_prop")), F.lit(0.0))).otherwise(F.max(c)).alias(c)
+    return rows.groupBy(*by, F.col("__to").alias("label"), kind.alias("row_kind")).agg(*map(score, SCORES))
 
 
 def legacy_score(gold: DataFrame, pred: DataFrame) -> DataFrame:

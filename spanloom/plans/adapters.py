@@ -17,13 +17,15 @@ ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as texts, items as tokens, four to a sentence, with gold and two predicted types: (text_id, lang, fold, sent_idx, token_idx, token, number, gold, pred_a, pred_b)."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)) - 1)
+    rows = table(spark, sf_dir, "lineitem").withColumn("text_id", F.col("l_orderkey").cast("string"))
+    # partitioned by text_id, so that later windows and groups by text and sentence need no other shuffle
+    rows = rows.withColumn("rn", F.row_number().over(W.partitionBy("text_id").orderBy(*ORDER)) - 1)
     gold = F.when(F.col("l_returnflag") == "N", "O").otherwise(F.col("l_returnflag"))
     off = F.round(F.col("l_discount") * 100)
     a = F.when((F.col("l_linestatus") == "F") & (off >= 8), "O").when((F.col("l_linestatus") == "O") & (off <= 1), "A").otherwise(gold)
     b = F.when(off >= 7, "O").when((F.col("l_linestatus") == "O") & (off <= 2), "R").otherwise(gold)
     return rows.select(
-        F.col("l_orderkey").cast("string").alias("text_id"),
+        "text_id",
         F.element_at(F.array(F.lit("de"), F.lit("en"), F.lit("fr")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("lang"),
         (F.col("l_orderkey") % 5).cast("int").alias("fold"),
         F.expr("int(rn div 4) + 1").alias("sent_idx"),
