@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.positions import current_tokens, running_totals
-from spanloom.util import lookup_rows
+from spanloom.util import checkpointed, lookup_rows
 
 #: Marks that end a clause.
 CLAUSE = r"^[,;:.!?)\]»”…–—]+$"
@@ -52,12 +52,16 @@ def split_oversized(annotation: DataFrame, limits: DataFrame, section: int = 409
         limit = F.when(F.col("lang") == r.lang, r.max_tokens).otherwise(limit)
         overlap = F.when(F.col("lang") == r.lang, min(r.overlap_tokens, (r.max_tokens - 1) // 2)).otherwise(overlap)
 
-    rows = current_tokens(annotation.withColumn("__block", F.expr(f"sent_idx div {block}")), "lang", by=("text_id", "__block"))
-    sizes = rows.groupBy("text_id", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("lang").alias("__lang"))
+    blocked = annotation.withColumn("__block", F.expr(f"sent_idx div {block}"))
+    rows = current_tokens(blocked, by=("text_id", "__block"))
+    places = blocked.select("text_id", "__block", "sent_idx", "token_idx", "lang").dropna(subset=["text_id", "sent_idx", "token_idx"]).repartition("text_id", "__block")
+    places = places.groupBy("text_id", "__block", "sent_idx", "token_idx").agg(F.min("lang").alias("__l"))
+    # a row per block of sentences, wanted for sums within texts and over them: made once
+    sizes = checkpointed(places.groupBy("text_id", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__l").alias("__lang")))
     langs = sizes.groupBy("text_id").agg(F.min("__lang").alias("lang"))
     base = running_totals(sizes.drop("__lang"), "text_id", "__block", "__n").join(langs, "text_id").select("text_id", "__block", "before", "total", "lang")
 
-    ranked = rows.drop("lang").selectExpr(
+    ranked = rows.selectExpr(
         "*",
         "row_number() over (partition by text_id, __block order by sent_idx, token_idx) - 1 as __rank",
         "lead(sent_idx) over (partition by text_id, __block order by sent_idx, token_idx) as __next",
