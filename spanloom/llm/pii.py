@@ -379,6 +379,7 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
                         "sbU".index(kinds[sur]),
                         "gbUI".index(first[2]),
                         lexicon.end_score(surname),
+                        lexicon.end_score(text[chain[sur - 1][0] : chain[sur - 1][1]]) if sur > i else 0,
                         len(surname),
                         len(shape),
                         text[s:e].isupper(),
@@ -446,7 +447,7 @@ class Finder:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for i, found in chosen.items():
             kept: list[tuple[int, int, str]] = []
-            for _, _, s, e, kind in sorted(found, key=lambda c: (-round(c[0], 2), -c[1], c[2], c[4])):
+            for _, _, s, e, kind in sorted(found, key=lambda c: (-round(c[0], 3), -c[1], c[2], c[4])):
                 if all(e <= a or b <= s for a, b, _ in kept):
                     kept.append((s, e, kind))
             out[i] = sorted(kept)

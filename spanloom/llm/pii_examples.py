@@ -39,7 +39,7 @@ ADDRESS_FRAMES = {
     "nl": ["Wonende {}, achterhuis", "Bezorgen: {}", "Het vat stond aan de {}", "Adres: {}"],
 }
 EMAIL_FRAMES = ["mailto:{}", "Contact: {}, weekdays", "Write to {} for a copy", "Kontakt: {}", "Scrivere a {} per una", "Contact <{}>", "Queries <{}>", "E-Mail {}"]
-TITLE = {"de": ["Frau", "Herr", "Herrn"], "en": ["Mrs", "Mr", "Miss"], "fr": ["Mme", "M.", "Mlle"], "it": ["La signora", "Sig."], "nl": ["Mevrouw", "Dhr."]}
+TITLE = {"de": ["Frau", "Herr", "Herrn"], "en": ["Mrs", "Mr", "Miss"], "fr": ["Mme", "Mlle"], "it": ["La signora", "Sig."], "nl": ["Mevrouw", "Dhr."]}
 PARTICLES = {"de": ["von", "zu", "von der"], "en": [], "fr": ["de", "du", "de la"], "it": ["di", "della", "del"], "nl": ["van", "van der", "ter", "van den"]}
 LURES = {
     "de": ["Signatur {4} {3} {3}", "Inv.-Nr. {4}-{3} liegt im", "Siehe S. {2}-{3}.", "Preis: {3},{3} Gulden @ Pfund.", "Am {d}.{m}.{y} kam", "Die Viola am Zaun", "In der Gasse der Gerber"],
