@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.overlap import overlap_counts, pair_columns, split_overlap
 from spanloom.llm.pieces import oversized, split_oversized
 from spanloom.llm.term_counts import judged_terms
+from spanloom.plans.loading import VALUES
 from spanloom.util import table
 
 
@@ -55,6 +56,15 @@ positions AS (
   FROM annotation WHERE text_id IS NOT NULL AND sent_idx IS NOT NULL AND token_idx IS NOT NULL GROUP BY ALL)"""
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_terms": p5_terms, "p5_tokens": p5_tokens, "p6_found": p6_found, "p6_counts": p6_counts}
+TERMS = f"""
+WITH {POSITIONS.strip()}, {VALUES.strip()},
+uses AS (
+  SELECT 'token' AS field, trim(lower(nfc_normalize(token)), ' ') AS term, text_id FROM positions WHERE token IS NOT NULL
+  UNION ALL SELECT 'tag', tag, text_id FROM packed),
+counts AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT text_id) AS texts FROM uses GROUP BY ALL),
+judged AS (SELECT field, term, occurrences, texts,
+  CASE WHEN texts < min_texts THEN 'rare' WHEN texts > max_text_share * (SELECT count(DISTINCT text_id) FROM annotation) THEN 'common' END AS verdict
+  FROM counts JOIN term_limit USING (field))"""
 SQL = {
     "p1_found": """
 WITH places AS (SELECT DISTINCT text_id, sent_idx, token_idx FROM annotation),
@@ -63,11 +73,7 @@ sizes AS (
   SELECT text_id, sent_idx, count(*) AS n FROM places GROUP BY ALL
   UNION ALL SELECT text_id, 0, count(*) FROM places GROUP BY ALL)
 SELECT text_id, CAST(sent_idx AS INT) AS sent_idx FROM sizes JOIN langs USING (text_id) JOIN chunk_limit USING (lang) WHERE n > max_tokens""",
-    "p5_tokens": f"""
-WITH {POSITIONS.strip()},
-terms AS (SELECT text_id, trim(lower(nfc_normalize(token)), ' ') AS term FROM positions WHERE token IS NOT NULL),
-counts AS (SELECT term, count(*) AS occurrences, count(DISTINCT text_id) AS texts FROM terms GROUP BY 1)
-SELECT term, occurrences, texts,
-  CASE WHEN texts < min_texts THEN 'rare' WHEN texts > max_text_share * (SELECT count(DISTINCT text_id) FROM annotation) THEN 'common' END AS verdict
-FROM counts, term_limit WHERE field = 'token'""",
+    "p5_found": f"{TERMS} SELECT field, term, verdict FROM judged WHERE verdict IS NOT NULL",
+    "p5_terms": f"{TERMS} SELECT * FROM judged",
+    "p5_tokens": f"{TERMS} SELECT term, occurrences, texts, verdict FROM judged WHERE field = 'token'",
 }
