@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ LEAST_WORDS = 10
 EDITS = "((3 * ({n})) div 20)"
 #: The lengths that segments have, for 10 words and more.
 SEGMENTS = (4, 5, 6)
+#: Training classes that share a segment, above which it is hot; and how many numbers of segments a class may choose from.
+HOT, LEVELS = 1000, 4
 
 
 def canonical(token: str) -> str | None:
@@ -93,21 +96,46 @@ def text_sides(split_assign: DataFrame) -> DataFrame:
     return latest.select("text_id", F.lower(F.trim("split")).alias("split")).where(F.col("split").isin("train", "dev", "test"))
 
 
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """(h_train, h_eval, edits) of classes (h, words, in_train, in_eval) of different words within the edits allowed."""
-    l, far = "size(words)", EDITS.format(n="((20 * size(words)) div 17)")  # noqa: E741
-    index = classes.where("in_train").selectExpr("h as h_train", f"{l} as l", "words", f"{far} + 1 as k")
+def _segments(classes: DataFrame, level: int) -> DataFrame:
+    """(h_train, l, level, p, key) of the training classes: hashes of ``level`` segments more than are needed for one to stand unchanged."""
+    rows = classes.where("in_train").selectExpr("h as h_train", "size(words) as l", "words", f"{EDITS.format(n='((20 * size(words)) div 17)')} + 1 + {level} as k")
+    if level:
+        rows = rows.where("l div k >= 2")
     place = "i * (l div k) + greatest(0, i - (k - l % k))"
-    index = index.selectExpr("h_train", "l", f"inline(transform(sequence(0, cast(k as int) - 1), i -> named_struct('p', cast({place} as int), 'key', xxhash64(slice(words, cast({place} + 1 as int), cast(l div k + if(i >= k - l % k, 1, 0) as int))))))")
-    runs = "concat(" + ", ".join(f"transform(sequence(1, {l} - {g - 1}), q -> named_struct('q', q - 1, 'key', xxhash64(slice(words, q, {g}))))" for g in SEGMENTS) + ")"
-    probe = classes.where("in_eval").selectExpr("h as h_eval", f"{l} as m", f"inline({runs})")
+    return rows.selectExpr("h_train", "l", f"{level} as level", f"inline(transform(sequence(0, cast(k as int) - 1), i -> named_struct('p', cast({place} as int), 'key', xxhash64(slice(words, cast({place} + 1 as int), cast(l div k + if(i >= k - l % k, 1, 0) as int))))))")
+
+
+def segment_index(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, tuple[int, ...]]:
+    """(h_train, l, p, key) to look up runs of words in, and the lengths of runs to look up.
+
+    A segment that more than ``hot`` classes share would pair them all. With n segments more than needed, n more stand unchanged, so n hot ones can be left out and
+    still no pair is missed: each class takes the fewest segments of which so few are hot. Only a class without such a number keeps its hot ones.
+    """
+    plain = _segments(classes, 0)
+    if plain.groupBy("key").count().where(F.col("count") > hot).isEmpty():
+        return plain.drop("level"), SEGMENTS
+    levels = checkpointed(reduce(DataFrame.unionByName, (_segments(classes, n) for n in range(LEVELS))))
+    shared = levels.groupBy("level", "key").count().where(F.col("count") > hot).select("level", "key", F.lit(1).alias("hot"))
+    flagged = levels.join(shared, ["level", "key"], "left")
+    chosen = flagged.groupBy("h_train", "level").agg(F.count("hot").alias("n")).where("n <= level").groupBy("h_train").agg(F.min("level").alias("level"))
+    good = flagged.where("hot is null").join(chosen, ["h_train", "level"])
+    rest = plain.join(chosen, "h_train", "left_anti")
+    columns = ["h_train", "l", "p", "key"]
+    return good.select(*columns).unionByName(rest.select(*columns)), (2, 3, *SEGMENTS)
+
+
+def similar_classes(classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(h_train, h_eval, edits) of classes (h, words, in_train, in_eval) of different words within the edits allowed."""
+    index, sizes = segment_index(classes, hot)
+    runs = "concat(" + ", ".join(f"transform(sequence(1, size(words) - {g - 1}), q -> named_struct('q', q - 1, 'key', xxhash64(slice(words, q, {g}))))" for g in sizes) + ")"
+    probe = classes.where("in_eval").selectExpr("h as h_eval", "size(words) as m", f"inline({runs})")
     most = EDITS.format(n="greatest(l, m)")
     pairs = index.join(probe, "key").where(f"h_train <> h_eval and abs(l - m) <= {most} and abs(p - q) <= {most}").select("h_train", "h_eval").distinct()
     pairs = pairs.join(classes.selectExpr("h as h_train", "words as a"), "h_train").join(classes.selectExpr("h as h_eval", "words as b"), "h_eval")
     return pairs.select("h_train", "h_eval", "a", "b").mapInArrow(_near, "h_train binary, h_eval binary, edits int")
 
 
-def split_overlap(annotation: DataFrame, split_assign: DataFrame) -> DataFrame:
+def split_overlap(annotation: DataFrame, split_assign: DataFrame, hot: int = HOT) -> DataFrame:
     """(text_id_train, sent_idx_train, text_id_eval, sent_idx_eval, split, edits): each pair of a training and an evaluation sentence
     that are equal or within 15 percent of edits. Texts without a split are left out, as are sentences of fewer than 10 words.
     """
@@ -115,7 +143,7 @@ def split_overlap(annotation: DataFrame, split_assign: DataFrame) -> DataFrame:
     train = F.col("split") == "train"
     classes = checkpointed(sentences.groupBy("h").agg(F.any_value("words").alias("words"), F.bool_or(train).alias("in_train"), F.bool_or(~train).alias("in_eval")))
     same = classes.where("in_train and in_eval").selectExpr("h as h_train", "h as h_eval", "0 as edits")
-    pairs = same.unionByName(similar_classes(classes))
+    pairs = same.unionByName(similar_classes(classes, hot))
     left = sentences.where(train).selectExpr("h as h_train", "text_id as text_id_train", "sent_idx as sent_idx_train")
     right = sentences.where(~train).selectExpr("h as h_eval", "text_id as text_id_eval", "sent_idx as sent_idx_eval", "split")
     return pairs.join(left, "h_train").join(right, "h_eval").drop("h_train", "h_eval")

@@ -74,7 +74,8 @@ def changed(draw, words, n):
 def test_all_pairs_are_found(spark):
     draw = random.Random(7)
     vocabulary = [f"w{i}" for i in range(30)]
-    base = [[draw.choice(vocabulary) for _ in range(draw.choice([8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 26, 33, 34, 47, 100, 300]))] for _ in range(40)]
+    common = [draw.choice(vocabulary) for _ in range(8)]
+    base = [common * draw.randint(0, 1) + [draw.choice(vocabulary) for _ in range(draw.choice([8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 26, 33, 34, 47, 100, 300]))] for _ in range(40)]
     sentences = {}
     for t in range(30):
         for s in range(6):
@@ -93,6 +94,9 @@ def test_all_pairs_are_found(spark):
             if sides[t] == "train" != sides[u] and min(len(a), len(b)) >= 10 and plain_distance(a, b) <= 3 * max(len(a), len(b)) // 20:
                 want.append((t, s, u, r) if t < u else (u, r, t, s))
     assert found == sorted(want) and len(want) > 60
+    for hot in (0, 2, 8):  # whatever counts as a segment that too many share
+        again = split_overlap(spark.createDataFrame(rows, ANNOTATION), assign, hot=hot)
+        assert sorted(map(tuple, pair_columns(again).collect())) == found
     meta = spark.createDataFrame([("t1", "old", day(1)), ("t1", "new", day(2))], "text_id string, source string, catalogued_at timestamp")
     counts = overlap_counts(got, meta).collect()
     assert sum(r.pairs for r in counts) == len(want) and {r.source for r in counts} == {"new", None}
