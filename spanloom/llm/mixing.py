@@ -25,6 +25,10 @@ from spanloom.util import checkpointed, lookup_rows
 SAMPLE = 3000
 WIDTH = 2048
 STEPS, CLOSE = 60, 1e-4
+#: The part of the total below which a step's change counts as none.
+REST = 1e-6
+#: As a total: the greatest at which no source falls short.
+FEASIBLE = "feasible"
 
 
 def _bag(texts: list[str]) -> np.ndarray:
@@ -145,22 +149,32 @@ def _expected(members: DataFrame, caps: np.ndarray, moves: np.ndarray | None) ->
     return out
 
 
-def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | None = None) -> tuple[np.ndarray, float]:
+def feasible_total(members: DataFrame, shares: np.ndarray, caps: np.ndarray) -> float:
+    """The greatest total that every source with documents can serve within its cap. The scarcest source sets it."""
+    known = _expected(members.where("slice is not null"), caps, None)
+    served = (known > 0) & (shares > 0)
+    return float((caps[served] * known[served] / shares[served]).min()) if served.any() else 0.0
+
+
+def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | str | None = None) -> tuple[np.ndarray, float]:
     """The moves whose rates bring the expected tokens of each source nearest to its share of ``total``, and the total.
 
-    By default it is the greatest total that every source with documents can serve within its cap.
+    By default it is the tokens of all ``members``; a source whose documents can't serve its share within their cap then falls short.
     """
     whole = _expected(members, caps, None)
     there = whole >= 1
     if total is None:
-        known = _expected(members.where("slice is not null"), caps, None)
-        served = (known > 0) & (shares > 0)
-        total = float((caps[served] * known[served] / shares[served]).min()) if served.any() else 0.0
-    moves = np.zeros((0, len(caps)))
+        total = float(whole.sum())
+    elif total == FEASIBLE:
+        total = feasible_total(members, shares, caps)
+    moves, before = np.zeros((0, len(caps))), np.zeros(len(caps))
     for _ in range(STEPS):
-        miss = _expected(members, caps, moves) - total * shares
-        if len(moves) and np.abs(miss[there]).max(initial=0) <= CLOSE * max(total, 1.0):
+        now = _expected(members, caps, moves)
+        miss = now - total * shares
+        # sources at their caps keep a miss: the rates rest once a step changes nothing
+        if len(moves) and (np.abs(miss[there]).max(initial=0) <= CLOSE * max(total, 1.0) or np.abs(now - before).max(initial=0) <= REST * max(total, 1.0)):
             break
+        before = now
         step = np.where(there, miss / np.where(there, whole, 1), 0)
         moves = np.vstack([moves, step])
         if len(moves) > 2 and np.abs(step).max(initial=0) < 1e-9:
@@ -168,12 +182,14 @@ def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: f
     return moves, total
 
 
-def mixture(documents: DataFrame, mix_target: DataFrame, vocabulary: str | None = None, total: float | None = None, sample: int = SAMPLE) -> DataFrame:
+def mixture(documents: DataFrame, mix_target: DataFrame, vocabulary: str | None = None, total: float | str | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, slice, n_tokens, repeats) of the documents taken, repeats times each.
 
     Sources compare in lower case without blanks at their ends. No document is repeated more than max_repeats of its source, one
     without source no more than the least of them; a target that repeats has its greatest share and least cap. Documents of other
-    sources, and without tokens, aren't taken. The tokens of a source are its share of the total up to one document.
+    sources, and without tokens, aren't taken. The tokens of a source are its share of the total up to one document, or all that its
+    documents give when each is taken max_repeats times. The total is the tokens of all documents that can be taken, or the one given, or
+    with FEASIBLE the greatest at which no source falls short.
     """
     targets = mix_target.selectExpr(f"{_canonical_source()} as source", "target_share", "max_repeats").dropna().groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("cap"))
     rows = sorted(lookup_rows(targets, 10_000), key=lambda r: r.source)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spanloom.llm.mixing import SourceModel, fit_rates, memberships, mixture, reached
+from spanloom.llm.mixing import FEASIBLE, SourceModel, fit_rates, memberships, mixture, reached
 
 DOCUMENTS = "doc_id long, text string, source string, lang string, domain string, repeats int, slice string"
 WORDS = {"a": "alder amber apple", "b": "birch butter basil", "c": "cedar clove cumin"}
@@ -66,3 +66,22 @@ def test_least_squares(spark):
             soft[r.doc_id] = rate
             sums += rate * r.n_tokens * np.array(r.odds)
     assert total == 4000.0 and np.abs(sums - total * shares).max() < 10 and max(soft.values()) > 0
+
+
+def test_scarce_source_does_not_size_the_mixture(spark):
+    draw = random.Random(12)
+    df = spark.createDataFrame(corpus(draw, {"a": 200, "b": 200, "c": 3, None: 10}), DOCUMENTS)
+    target = spark.createDataFrame([("a", 0.6, 4), ("b", 0.2, 4), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    members = memberships(df, ["a", "b", "c"]).cache()
+    whole = sum(r.n_tokens for r in members.collect())
+    scarce = sum(r.n_tokens for r in members.where("slice = 2").collect())
+    got = mixture(df, target).cache()
+    report = {r.source: r for r in reached(got, target).collect()}
+    assert report["c"].documents == 3 and report["c"].tokens == 3 * scarce and report["c"].share < 0.1  # all it has, cap times over
+    sums = {s: sum(r.n_tokens * r.repeats for r in got.where(f"slice = '{s}'").collect()) for s in "ab"}
+    assert abs(sums["a"] - 0.6 * whole) < 0.05 * whole and abs(sums["b"] - 0.2 * whole) < 0.05 * whole
+    assert report["a"].most_repeats == 2
+    moves, _ = fit_rates(members, np.array([0.6, 0.2, 0.2]), np.array([4.0, 4.0, 3.0]))
+    assert len(moves) < 30  # a source at its cap doesn't keep the steps going
+    small = mixture(df, target, total=FEASIBLE).collect()
+    assert sum(r.n_tokens * r.repeats for r in small) < 1.3 * 3 * scarce / 0.2 < 0.2 * whole
