@@ -32,6 +32,8 @@ SUFFIX_STREETS = "straße|strasse|str.|gasse|weg|platz|allee|ufer|damm|steig|rin
 FRENCH_STREETS = "rue|r.|avenue|av.|impasse|quai|place|pl.|bd|boulevard|boul.|chemin|ch.|ruelle|cours|allée|passage|Rue|Avenue|Impasse|Quai|Place|RUE|QUAI"
 ENGLISH_STREETS = "Street|St|Lane|Ln|Row|Close|Road|Rd|Hill|Court|Yard|Alley|Square|Sq|Way|Terrace|Wharf|Place|Avenue|Ave|STREET|LANE|ROW|CLOSE|ROAD"
 TITLES = frozenset("frau herr herrn mevrouw mevr dhr de heer meneer mme mlle madame monsieur mr mrs ms miss dr prof signora signor sig sig.ra sir lady signed signé gez get firmato villa volgens secondo selon nach according wonende via viale piazza vicolo corso largo salita strada rue avenue impasse quai place v.le r av".split())
+#: Titles, and phrases of signing and telling, after which two unlisted words can be a name.
+CUES = r"frau|herrn?|mevrouw|mevr|dhr|(?:de )?heer|meneer|mme|mlle|madame|monsieur|mrs?|ms|miss|dr|prof|dott|signora|signor|sig(?:\.ra)?|sir|lady|signed|signé|gez|get|firmato|according to|auskunft von|vermerk schrieb|selon|secondo|volgens|left by|seen by|main de|note de|mano di|aantekening is van"
 MORE_PARTICLES = ("van den", "van de", "von der", "von dem", "de la", "del", "degli", "dalla", "dal", "des", "ten", "te", "zum", "zur", "den", "der", "d'", "le", "la", "op")
 # ---- end of fixed values ----
 
@@ -42,7 +44,8 @@ def _words(listed: str) -> str:
 
 BLANK = r"[ \t\u00a0\u2007\u2009\u200a\u202f]"
 AT = re.compile(r"@|＠|[\[({]\s?[Aa][Tt]\s?[\])}]|(?<=\s)(?:AT|at)(?=\s+[\w-]+\s+(?:DOT|dot)\s)")
-LOCAL = re.compile(r"[\w+%-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sDOT\s)[\w+%-]+)*\s{0,2}$")
+#: Read backwards from the sign.
+LOCAL = re.compile(r"\s{0,2}[\w+%-]+(?:(?:\.|\s?[\])]tod[\[(]\s?|\sTOD\s)[\w+%-]+)*")
 DOMAIN = re.compile(r"\s{0,2}[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?|\s(?:DOT|dot)\s)[^\W_](?:[\w-]*[^\W_])?)+")
 RUN = re.compile(r"[+(]{0,2}\d(?:[\d.\-/() \u00a0\u2007\u2009\u200a\u202f\u2010-\u2015\t]{0,2}\d)*")
 SEPARATORS = " -./"
@@ -59,6 +62,7 @@ ENGLISH_STREET = re.compile(rf"(?:{BLANK}?-{BLANK}?\d{{1,4}})?(?:{BLANK}?[A-Za-z
 HOUSE = re.compile(r"(?<![\w.,/+@-])\d{1,4}(?![\d])|(?<=\d-)\d{1,4}(?!\d)")
 AFTER_NUMBER = re.compile(HOUSE_AFTER)
 CAPITAL = re.compile(r"(?<![\w@.+-])[A-ZÀ-ÖØ-Þ](?:[\w'’]+(?:-[\w'’]+)*|\.(?:[ -]?[A-ZÀ-ÖØ-Þ]\.)*)")
+CUE = re.compile(rf"(?i)(?<!\w)(?:{CUES.replace(' ', BLANK + '+')})\.?{BLANK}*:?{BLANK}*$")
 INITIALS = re.compile(r"[A-ZÀ-ÖØ-Þ]\.(?:[ -]?[A-ZÀ-ÖØ-Þ]\.)*$")
 
 #: Shapes of numbers, 9 for any digit, A for any capital, blanks and hyphens made plain.
@@ -170,15 +174,29 @@ class Lexicon:
 Candidate = tuple[int, int, str, list[float]]
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the local part before ``end`` starts, or ``end`` if there is none; the window grows until the part ends inside it."""
+    width = 90
+    while True:
+        back = text[max(0, end - width) : end][::-1]
+        m = LOCAL.match(back)
+        if not m:
+            return end
+        if width >= end or m.end() < len(back) - 12:
+            return end - m.end()
+        width *= 2
+
+
 def email_candidates(text: str) -> Iterator[Candidate]:
     """Spans around each @ or its disguises, and their shorter forms."""
     for m in AT.finditer(text):
-        local = LOCAL.search(text, max(0, m.start() - 90), m.start())
-        domain = DOMAIN.match(text, m.end(), m.end() + 150)
-        if not local or not domain or local.start() == m.start():
+        first = _local_start(text, m.start())
+        domain = DOMAIN.match(text, m.end())
+        if not domain or first == m.start():
             continue
+        local = text[first : m.start()]
         sign, dots = m.group(), len(re.findall(r"\.|dot|DOT", domain.group()))
-        start = local.start()
+        start = first
         while text[start] in "-_%":
             start += 1
         ends = {domain.end()}
@@ -186,8 +204,8 @@ def email_candidates(text: str) -> Iterator[Candidate]:
         if dots > 1 and last > 0:
             ends.add(m.end() + last)
         starts = {start}
-        if "." in local.group():
-            starts.add(start + local.group()[start - local.start() :].rfind(".") + 1)
+        if "." in local:
+            starts.add(start + local[start - first :].rfind(".") + 1)
         for s in starts:
             for e in ends:
                 if s < m.start() and e > m.end():
@@ -251,9 +269,11 @@ def number_candidates(text: str) -> Iterator[Candidate]:
         found: list[Candidate] = []
         for i in range(len(groups)):
             digits = 0
-            for j in range(i, min(i + 9, len(groups))):
+            for j in range(i, len(groups)):
                 digits += sizes[j]
-                if not 7 <= digits <= 16:
+                if digits > 16:
+                    break
+                if digits < 7:
                     continue
                 s, e = groups[i][0], groups[j][1]
                 if text[s - 1 : s] == "+":
@@ -313,11 +333,42 @@ def address_candidates(text: str) -> Iterator[Candidate]:
                     yield s, cut, "address", _address(text, s, cut, 4, number, False, (0, 0, 0, 0, len(hit.group().split()), 0))
 
 
-NAME = re.compile(r"[gbUI]{1,3}P?[sbU]\Z|P?[sbU],[gbUI]{1,3}P?\Z")
+NAME = re.compile(r"[gbUI]+P?[sbU]\Z|P?[sbU],[gbUI]+P?\Z")
+#: Chain tokens up to which all parts of a chain are proposed.
+SHORT = 7
+
+
+def _parts(kinds: str) -> Iterator[tuple[int, int]]:
+    """First and last token of the parts of a chain: all short ones, and of any length those that start or end where a series of name words does."""
+    n = len(kinds)
+    for i in range(n):
+        for j in range(i + 1, min(i + SHORT, n)):
+            yield i, j
+    if n <= SHORT:
+        return
+    edge = [True, *(k in "PT," for k in kinds), True]
+    for i in range(n):
+        if edge[i] or kinds[i] == "P":
+            signs = 0
+            for j in range(i, n):
+                signs += kinds[j] in "P,"
+                if kinds[j] == "T" or signs > 3:
+                    break
+                if j >= i + SHORT:
+                    yield i, j
+    for j in range(n):
+        if edge[j + 2] or kinds[j] == "P":
+            signs = 0
+            for i in range(j, -1, -1):
+                signs += kinds[i] in "P,"
+                if kinds[i] == "T" or signs > 3:
+                    break
+                if i <= j - SHORT and not (edge[i] or kinds[i] == "P"):
+                    yield i, j
 
 
 def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] = ()) -> Iterator[Candidate]:
-    """Series of capitalised words, initials and particles around a known name part or initials, outside ``taken`` spans."""
+    """Series of capitalised words, initials and particles around a known name part or initials, or after a title or a phrase of signing, outside ``taken`` spans."""
     tokens: list[tuple[int, int, str]] = []
     chains: list[list[tuple[int, int, str]]] = []
     at = -1
@@ -358,43 +409,44 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
         chains.append(tokens)
     for chain in chains:
         kinds = "".join(t[2] for t in chain)
-        if not re.search("[gsbI]", kinds):
+        cued = [bool(CUE.search(text, max(0, t[0] - 24), t[0])) for t in chain]
+        if not re.search("[gsbI]", kinds) and not any(cued):
             continue
-        for i in range(len(chain)):
-            for j in range(i + 1, min(i + 6, len(chain))):
-                shape = kinds[i : j + 1]
-                if NAME.match(shape) and re.search("[gsbI]", shape):
-                    s, e = chain[i][0], chain[j][1]
-                    turned = "," in shape
-                    sur = shape.index(",") - 1 + i if turned else j
-                    surname = text[chain[sur][0] : chain[sur][1]]
-                    first = chain[sur + 2] if turned else chain[i]
-                    before = text[max(0, s - 14) : s]
-                    yield s, e, "name", [
-                        turned,
-                        shape.count("g") + shape.count("b"),
-                        shape.count("I"),
-                        shape.count("U"),
-                        "P" in shape,
-                        "sbU".index(kinds[sur]),
-                        "gbUI".index(first[2]),
-                        lexicon.end_score(surname),
-                        lexicon.end_score(text[chain[sur - 1][0] : chain[sur - 1][1]]) if sur > i else 0,
-                        len(surname),
-                        len(shape),
-                        text[s:e].isupper(),
-                        surname.isupper(),
-                        i > 0 and kinds[i - 1] == "T",
-                        "TUgsbIP,".index(kinds[i - 1]) if i > 0 else -1,
-                        "TUgsbIP,".index(kinds[j + 1]) if j + 1 < len(chain) else -1,
-                        "TUgsbIP,".index(kinds[j + 2]) if j + 2 < len(chain) else -1,
-                        _side(text[s - 1 : s]),
-                        _side(text[e : e + 1]),
-                        text[s:e].startswith("M."),
-                        bool(re.search(r"(?:Selon|selon|Nach|par|chez)\s$", before)),
-                        first[1] - first[0],
-                        text[e : e + 2] in ("'s", "’s"),
-                    ]
+        for i, j in _parts(kinds):
+            shape = kinds[i : j + 1]
+            if NAME.match(shape) and (cued[i] or re.search("[gsbI]", shape)):
+                s, e = chain[i][0], chain[j][1]
+                turned = "," in shape
+                sur = shape.index(",") - 1 + i if turned else j
+                surname = text[chain[sur][0] : chain[sur][1]]
+                first = chain[sur + 2] if turned else chain[i]
+                before = text[max(0, s - 14) : s]
+                yield s, e, "name", [
+                    turned,
+                    shape.count("g") + shape.count("b"),
+                    shape.count("I"),
+                    shape.count("U"),
+                    "P" in shape,
+                    "sbU".index(kinds[sur]),
+                    "gbUI".index(first[2]),
+                    lexicon.end_score(surname),
+                    lexicon.end_score(text[chain[sur - 1][0] : chain[sur - 1][1]]) if sur > i else 0,
+                    len(surname),
+                    len(shape),
+                    text[s:e].isupper(),
+                    surname.isupper(),
+                    i > 0 and kinds[i - 1] == "T",
+                    "TUgsbIP,".index(kinds[i - 1]) if i > 0 else -1,
+                    "TUgsbIP,".index(kinds[j + 1]) if j + 1 < len(chain) else -1,
+                    "TUgsbIP,".index(kinds[j + 2]) if j + 2 < len(chain) else -1,
+                    _side(text[s - 1 : s]),
+                    _side(text[e : e + 1]),
+                    text[s:e].startswith("M."),
+                    bool(re.search(r"(?:Selon|selon|Nach|par|chez)\s$", before)),
+                    first[1] - first[0],
+                    text[e : e + 2] in ("'s", "’s"),
+                    cued[i],
+                ]
 
 
 class Finder:

@@ -55,12 +55,15 @@ DOMAINS = ["letters.example", "post.haus.test", "mail.archive.invalid", "odour.e
 # ---- end of fixed values ----
 SYLLABLES = "ba be bri chou da del fi flan ga gru hei jo ka kle lan lo mar mie na no pa per pli qua ra ren sa schu so sta ta ter tru va ven wol zo zei".split()
 
+#: The share of names after a title or a phrase of signing of which no part is in the lexicon.
+UNLISTED = 0.06
+
 
 class Maker:
     """Draws texts; ``spans`` of the last text are (start, end, kind)."""
 
     def __init__(self, rows: list[tuple[str, str, str]], draw: random.Random):
-        self.draw = draw
+        self.draw, self.apart = draw, random.Random(17)
         self.parts = {(k, lang): [p for p, kind, of in rows if kind == k and (of == lang or not of)] or [p for p, kind, _ in rows if kind == k] or ["Anna"] for k in ("given", "surname") for lang in NAME_FRAMES}
 
     def word(self) -> str:
@@ -83,6 +86,10 @@ class Maker:
         name = f"{initials if form < 0.42 else given}{gap}{particle}{surname}" if form < 0.94 else f"{given} {d.choice(self.parts['given', lang])} {particle}{surname}"
         return name.upper() if d.random() < 0.06 else name
 
+    def unlisted(self) -> str:
+        """A full name of two parts that no lexicon has. Its draws are apart, so that all else of the texts is as without it."""
+        return " ".join("".join(self.apart.choice(SYLLABLES) for _ in range(self.apart.randint(2, 4))).capitalize() for _ in range(2))
+
     def email(self, lang: str) -> str:
         d = self.draw
         given, surname = d.choice(self.parts["given", lang]).lower(), d.choice(self.parts["surname", lang]).lower()
@@ -163,6 +170,8 @@ class Maker:
             nonlocal out
             before, after = frame.split("{}")
             piece = make[kind](lang)
+            if kind == "name" and frame in NAME_FRAMES[lang] and self.apart.random() < UNLISTED:
+                piece = self.unlisted()
             out += before
             spans.add((len(out), len(out) + len(piece), kind))
             out += piece + after

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from spanloom.llm.boosting import BoostedTrees
-from spanloom.llm.pii import KINDS, Finder, find_personal, finder, redact
+from spanloom.llm.pii import KINDS, Finder, Lexicon, email_candidates, find_personal, finder, name_candidates, number_candidates, redact
 from spanloom.llm.pii_examples import examples
 
 PARTS = {"given": {"de": "Anna Otto Greta Emil", "en": "Mary John Ivy Silas", "fr": "Odile Jean Ninon Luc", "it": "Zaira Ugo Letizia Dino", "nl": "Femke Jan Okke Teun"}, "particle": {"de": "von", "fr": "du", "it": "di", "nl": "van"}}
@@ -50,3 +50,23 @@ def test_tables(spark):
     assert out[1].text == "Nota. Signed: [NAME] saw it. Tel. [PHONE]. Shelf mark 5494 713 111. Deliver to: [ADDRESS]. mailto:[EMAIL]" and out[1].replaced == 4
     assert out[2].text is None and out[3].text == ""
     assert find_personal(df.limit(0), lexicon, size=2500).count() == 0
+
+
+def test_candidates_without_limits():
+    lexicon = Lexicon([r[:2] for r in ROWS])
+    names = lambda text: {text[s:e] for s, e, _, _ in name_candidates(text, lexicon)}
+    assert "Xorila Plumbert" in names("Frau Xorila Plumbert brachte") & names("Dr. Xorila Plumbert schrieb") & names("Signed: Xorila Plumbert saw")
+    assert "Xorila Plumbert" not in names("the Xorila Plumbert saw")
+    for long in ("von Bahagen, Anna Greta Emil Otto Anna", "Anna Greta Emil Otto Anna Greta Emil Otto Bahagen"):
+        assert long in names(f"Signed: {long}. Then")
+    assert len(list(name_candidates("ANNA BERG " * 2000, lexicon))) < 200_000
+    for local, domain in (("a" * 200, "b" * 30 + ".example"), ("x" * 85 + ".anna" * 40, ("c" * 40 + ".") * 5 + "example")):
+        text = f"Write to {local}@{domain} now"
+        assert f"{local}@{domain}" in {text[s:e] for s, e, _, _ in email_candidates(text)}
+    digits = "1 2 3 4 5 6 7 8 9 0 1"
+    assert digits in {f"Tel. {digits}."[s:e] for s, e, _, _ in number_candidates(f"Tel. {digits}.")}
+
+
+def test_unlisted_names_after_titles():
+    found = finder(ROWS, 2500).find_all(["Frau Xorila Dumosel brachte es.", "Signed: Xorila Dumosel saw it."])
+    assert [[(s, e) for s, e, kind in spans if kind == "name"] for spans in found] == [[(5, 19)], [(8, 22)]]
