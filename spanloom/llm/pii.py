@@ -24,16 +24,16 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # ---- fixed values: words that stand before numbers, and street words ----
-PHONE_WORDS = r"(?i)(?:tel|tél|phone|call|ring|mobil|cell|fernruf|telefo|téléphone|\bbel\b|chiamare|appeler|répond|answers|erreich|unter|risponde|\bis op\b|portable|handy)"
-ID_WORDS = r"(?i)(?:\bbsn\b|burgerservice|sofi|steuer|ausweis|\bperso|kennzahl|\bid\b|id-|ssn|\bni\b|insurance|identit|sécu|\bnir\b|\bc\.\s?f\.|fisc|document|\bgaf\b|\bgave\b|donna|diede|\bgab\b|social)"
-SHELF_WORDS = r"(?i)(?:\binv\b|inv\.|shelf|signatur|cote\b|segnatura|plaatsing|preis|price|prix|\bpp?\.|blz|\bs\.|verkocht|sold|vendu)"
+PHONE_WORDS = r"(?i)(?:tel|tél|phone|fon\b|fax|call|dial|ring|mobi|cell|ruf|handy|gsm|\bbel\b|bellen|chiama|appel|portable|erreich|durchwahl|recapito|number is)"
+ID_WORDS = r"(?i)(?:\bbsn\b|burgerservice|sofi|steuer|\btax\b|ausweis|\bperso|kenn|passp|paspoort|reisepass|\bid\b|id-|idnr|identi|ssn|\bni\b|insurance|versicherung|social|sozial|sécu|\bnir\b|\bc\.\s?f\.|fisc|tessera|matricule|document)"
+SHELF_WORDS = r"(?i)(?:\binv\b|inv\.|réf|ref\.|rif\.|art\.|artik|isbn|shelf|mark|sign|cote\b|segn|plaats|preis|price|prix|prezzo|prijs|order|bestel|\bpp?\.|blz|\bs\.)"
 BEFORE_STREETS = "Via|via|V.le|Viale|viale|Piazza|piazza|P.za|P.zza|Corso|corso|C.so|Vicolo|vicolo|Largo|largo|Salita|Strada|VIA|PIAZZA|VICOLO"
 SUFFIX_STREETS = "straße|strasse|str.|gasse|weg|platz|allee|ufer|damm|steig|ring|straat|gracht|kade|steeg|laan|plein|singel|dijk|STRASSE|GASSE|WEG|PLATZ|STRAAT|GRACHT|KADE|STEEG"
 FRENCH_STREETS = "rue|r.|avenue|av.|impasse|quai|place|pl.|bd|boulevard|boul.|chemin|ch.|ruelle|cours|allée|passage|Rue|Avenue|Impasse|Quai|Place|RUE|QUAI"
 ENGLISH_STREETS = "Street|St|Lane|Ln|Row|Close|Road|Rd|Hill|Court|Yard|Alley|Square|Sq|Way|Terrace|Wharf|Place|Avenue|Ave|STREET|LANE|ROW|CLOSE|ROAD"
 TITLES = frozenset("frau herr herrn mevrouw mevr dhr de heer meneer mme mlle madame monsieur mr mrs ms miss dr prof signora signor sig sig.ra sir lady signed signé gez get firmato villa volgens secondo selon nach according wonende via viale piazza vicolo corso largo salita strada rue avenue impasse quai place v.le r av".split())
 #: Titles, and phrases of signing and telling, after which two unlisted words can be a name.
-CUES = r"frau|herrn?|mevrouw|mevr|dhr|(?:de )?heer|meneer|mme|mlle|madame|monsieur|mrs?|ms|miss|dr|prof|dott|signora|signor|sig(?:\.ra)?|sir|lady|signed|signé|gez|get|firmato|according to|auskunft von|vermerk schrieb|selon|secondo|volgens|left by|seen by|main de|note de|mano di|aantekening is van"
+CUES = r"frau|herrn?|mevrouw|mevr|dhr|(?:de )?heer|meneer|mme|mlle|madame|monsieur|mrs?|ms|miss|dr|prof|dott|signora|signor|sig(?:\.ra)?|sir|lady|signed|sgd|signé|soussigné|gez|gezeichnet|unterschrift|get|w\.g|firmato|f\.to|according to|written by|laut|selon|d'après|secondo|volgens|author|auteur|autore|dear|caro|cher|beste|attn|t\.a\.v"
 MORE_PARTICLES = ("van den", "van de", "von der", "von dem", "de la", "del", "degli", "dalla", "dal", "des", "ten", "te", "zum", "zur", "den", "der", "d'", "le", "la", "op")
 # ---- end of fixed values ----
 
@@ -49,20 +49,24 @@ LOCAL = re.compile(r"\s{0,2}[\w+%-]+(?:(?:\.|\s?[\])]tod[\[(]\s?|\sTOD\s)[\w+%-]
 DOMAIN = re.compile(r"\s{0,2}[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s?[\[({]\s?(?i:dot)\s?[\])}]\s?|\s(?:DOT|dot)\s)[^\W_](?:[\w-]*[^\W_])?)+")
 RUN = re.compile(r"[+(]{0,2}\d(?:[\d.\-/() \u00a0\u2007\u2009\u200a\u202f\u2010-\u2015\t]{0,2}\d)*")
 SEPARATORS = " -./"
+#: A phone number has 15 digits at most, behind the sign for abroad (00) and a bracketed 0; no identity code of the five countries is longer than 20.
+MOST_DIGITS, MOST_CODE = 18, 20
 GROUP = re.compile(r"\d+")
+CAPTION = re.compile(r"(?:BSN|NIR|SSN|NI|ID|CF|NR|NO|TEL|FAX)[ -]?\d")
 CODE_WORD = re.compile(r"[A-Z0-9]+")
 CODE = re.compile(rf"(?<![\w.@-])[A-Z]{{1,6}}[A-Z0-9]*(?:{BLANK}[A-Z0-9]*\d[A-Z0-9]*)*(?:{BLANK}[A-Z])?(?![\w@])")
 HOUSE_AFTER = r"\d{1,4}(?!\d)(?:(?:\s?/\s?(?:bis|ter|\d{1,3}|[A-Za-z])|-[IVX]+|-\d{1,3}|\s?[a-zA-Z])(?!\w))?"
 SUFFIX_STREET = re.compile(rf"(?:{BLANK}?(?:{_words(SUFFIX_STREETS)})),?{BLANK}+(?:(?:nr|Nr|n|no)\.?{BLANK}*)?$")
-BEFORE_STREET = re.compile(rf"(?<![\w.])(?:{_words(BEFORE_STREETS)}){BLANK}+(?:(?:d(?:ei|elle|ella|el|egli|i|a)|dell')\s?)?(?:[^\W\d_][\w'’-]*{BLANK}+){{0,3}}[^\W\d_][\w'’-]*,?{BLANK}+(?:(?:n|N|nr|num)[.°º]*{BLANK}*)?$")
+BEFORE_STREET = re.compile(rf"(?<![\w.])(?:{_words(BEFORE_STREETS)}){BLANK}+(?:(?:d(?:ei|elle|ella|el|egli|i|a)|dell')\s?)?(?:[^\W\d_][\w'’-]*{BLANK}+){{0,6}}[^\W\d_][\w'’-]*,?{BLANK}+(?:(?:n|N|nr|num)[.°º]*{BLANK}*)?$")
 STREET_END = re.compile(rf"(?:{_words(SUFFIX_STREETS)}),?{BLANK}{{1,3}}(?:[nN][ro]?[.°]?{BLANK}*)?$")
 STREET_HEAD = re.compile(r"(?:[Vv]i[ac]|V\.l|[Pp]iazz|P\.z|[Cc]ors|C\.so|[Ll]argo|[Ss]trada|[Ss]alita|VI|PIAZ)")
 FRENCH_STREET = re.compile(rf"(?:{BLANK}(?:bis|ter|quater|[A-D]))?,?{BLANK}+(?:{_words(FRENCH_STREETS)}){BLANK}*(?:(?:de la|des|du|de|d'|aux|la|le|les){BLANK}*)?[A-ZÀ-Þ][\w'’]*(?:-[\w'’]+)*")
-ENGLISH_STREET = re.compile(rf"(?:{BLANK}?-{BLANK}?\d{{1,4}})?(?:{BLANK}?[A-Za-z])?,?{BLANK}+(?:[A-Z][\w'’-]*{BLANK}+){{1,3}}?(?:{_words(ENGLISH_STREETS)})(?![\w'])")
+ENGLISH_STREET = re.compile(rf"(?:{BLANK}?-{BLANK}?\d{{1,4}})?(?:{BLANK}?[A-Za-z])?,?{BLANK}+(?:[A-Z][\w'’-]*{BLANK}+){{1,6}}?(?:{_words(ENGLISH_STREETS)})(?![\w'])")
 HOUSE = re.compile(r"(?<![\w.,/+@-])\d{1,4}(?![\d])|(?<=\d-)\d{1,4}(?!\d)")
 AFTER_NUMBER = re.compile(HOUSE_AFTER)
 CAPITAL = re.compile(r"(?<![\w@.+-])[A-ZÀ-ÖØ-Þ](?:[\w'’]+(?:-[\w'’]+)*|\.(?:[ -]?[A-ZÀ-ÖØ-Þ]\.)*)")
 CUE = re.compile(rf"(?i)(?<!\w)(?:{CUES.replace(' ', BLANK + '+')})\.?{BLANK}*:?{BLANK}*$")
+AGENT = re.compile(r"(?i)(?<!\w)(?:nach|laut|von|bei|by|from|par|selon|chez|da|secondo|presso|door|bij|volgens)\s$")
 INITIALS = re.compile(r"[A-ZÀ-ÖØ-Þ]\.(?:[ -]?[A-ZÀ-ÖØ-Þ]\.)*$")
 
 #: Shapes of numbers, 9 for any digit, A for any capital, blanks and hyphens made plain.
@@ -138,6 +142,7 @@ class Lexicon:
         particles = sorted(self.parts["particle"] | set(MORE_PARTICLES), key=len, reverse=True)
         self._particles = frozenset(particles)
         self._kinds: dict[str, str] = {}
+        self.reach = 2 * max(map(len, particles)) + 8
         one = "|".join(re.escape(p).replace(r"\ ", BLANK + "+") for p in particles)
         self.particle_before = re.compile(rf"(?:^|(?<={BLANK})|(?<=\n))(?i:{one}){BLANK}+$")
 
@@ -246,7 +251,7 @@ def _number(text: str, s: int, e: int, maximal: bool) -> list[float]:
         bool(re.search(PHONE_WORDS, before)),
         bool(re.search(ID_WORDS, before)),
         bool(re.search(SHELF_WORDS, before[-14:])),
-        bool(re.match(r"\W*(?:als|as|comme|come|was|werd|esibito|présenté|wurde|zu |most|te ber|avant|before|vóór|prima|vormit|le mat|di mat|an\b)", after)),
+        bool(CAPTION.match(span)),
     ]
 
 
@@ -258,7 +263,7 @@ def _nested(found: list[Candidate]) -> Iterator[Candidate]:
 
 
 def number_candidates(text: str) -> Iterator[Candidate]:
-    """Series of digit groups with seven digits to fifteen in each run of digits and separators, and codes of capitals and digits."""
+    """Series of digit groups, however many, with seven digits or more and no more than a number can have, and codes of capitals and digits."""
     for m in RUN.finditer(text):
         if m.end() - m.start() < 7:
             continue
@@ -271,7 +276,7 @@ def number_candidates(text: str) -> Iterator[Candidate]:
             digits = 0
             for j in range(i, len(groups)):
                 digits += sizes[j]
-                if digits > 16:
+                if digits > MOST_DIGITS:
                     break
                 if digits < 7:
                     continue
@@ -288,7 +293,11 @@ def number_candidates(text: str) -> Iterator[Candidate]:
         found = []
         words = [(w.start(), w.end()) for w in CODE_WORD.finditer(text, m.start(), m.end())]
         for i in range(len(words)):
-            for j in range(i, min(i + 6, len(words))):
+            size = 0
+            for j in range(i, len(words)):
+                size += words[j][1] - words[j][0]
+                if size > MOST_CODE:
+                    break
                 s, e = words[i][0], words[j][1]
                 if e - s >= 7 and text[s].isalpha() and sum(c.isdigit() for c in text[s:e]) >= 4:
                     found.append((s, e, "number", _number(text, s, e, i == 0 and j == len(words) - 1)))
@@ -300,11 +309,21 @@ def _address(text: str, s: int, e: int, style: int, number: str, longest: bool,
     return [style, len(number), 1500 <= int(number) <= 2100, e - s, span.count(" "), "," in span, "/" in span, "-" in span, span[0].isupper(), longest, _side(text[s - 1 : s]), _side(text[e : e + 1]), text[e : e + 1] == " " and text[e + 1 : e + 2].isupper(), *more]
 
 
+def _before(text: str, s: int, blanks: int = 10) -> str:
+    """What stands before ``s``, from the line's begin or far enough for the longest name of a street, however long its words are."""
+    width = 96
+    while True:
+        before = text[max(0, s - width) : s]
+        if width >= s or "\n" in before[:-1] or sum(map(str.isspace, before)) >= blanks:
+            return before
+        width *= 2
+
+
 def address_candidates(text: str) -> Iterator[Candidate]:
     """Street words before or after a number of one to four digits, with and without its suffix."""
     for m in HOUSE.finditer(text):
         s, e, number = m.start(), m.end(), m.group()
-        before = text[max(0, s - 70) : s]
+        before = _before(text, s)
         start, style = -1, 0
         if before[-1:].isspace() or before[-1:] in ".°":
             if STREET_END.search(before) and (hit := SUFFIX_STREET.search(before)):
@@ -379,7 +398,7 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
         kind = lexicon.kind(word)
         joint = text[at:s] if tokens else None
         links: list[tuple[int, int, str]] | None = None
-        if joint is not None and len(joint) <= 16:
+        if joint is not None and len(joint) <= lexicon.reach:
             core = joint.strip()
             if "\n" in joint or "\r" in joint:
                 links = None
@@ -396,7 +415,7 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
             if len(tokens) > 1:
                 chains.append(tokens)
             tokens = []
-            if p := lexicon.particle_before.search(text, max(0, s - 14), s):
+            if p := lexicon.particle_before.search(text, max(0, s - lexicon.reach), s):
                 tokens.append((p.start(), p.start() + len(p.group().rstrip()), "P"))
         else:
             tokens.extend(links)
@@ -409,7 +428,7 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
         chains.append(tokens)
     for chain in chains:
         kinds = "".join(t[2] for t in chain)
-        cued = [bool(CUE.search(text, max(0, t[0] - 24), t[0])) for t in chain]
+        cued = [bool(CUE.search(text, max(0, t[0] - 48), t[0])) for t in chain]
         if not re.search("[gsbI]", kinds) and not any(cued):
             continue
         for i, j in _parts(kinds):
@@ -442,7 +461,7 @@ def name_candidates(text: str, lexicon: Lexicon, taken: list[tuple[int, int]] =
                     _side(text[s - 1 : s]),
                     _side(text[e : e + 1]),
                     text[s:e].startswith("M."),
-                    bool(re.search(r"(?:Selon|selon|Nach|par|chez)\s$", before)),
+                    bool(AGENT.search(before)),
                     first[1] - first[0],
                     text[e : e + 2] in ("'s", "’s"),
                     cued[i],

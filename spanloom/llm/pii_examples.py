@@ -9,44 +9,46 @@ from __future__ import annotations
 
 import random
 
-# ---- fixed values: phrases around personal information, {} is its place ----
+from spanloom.llm.pii import CUE
+
+# ---- fixed values: ordinary captions and phrases of letters, forms and registers, {} is the place of the information ----
 NAME_FRAMES = {
-    "de": ["Gez. {}", "Nach Auskunft von {} roch", "Den Vermerk schrieb {} im", "Frau {} brachte", "Herr {} kam", "Dr. {} schrieb"],
-    "en": ["Signed: {}", "According to {}, the", "The note was left by {} that", "Mrs {} brought", "Mr. {} came", "seen by {}"],
-    "fr": ["Signé : {}", "Selon {}, le", "est de la main de {}", "Mme {} apporta", "note de {}", "par {} hier"],
-    "it": ["Firmato: {}", "Secondo {} il", "nota è di mano di {}", "La signora {} portò", "Il dott. {} venne", "da {} ieri"],
-    "nl": ["Get. {}", "Volgens {} rook", "De aantekening is van {} uit", "Mevrouw {} bracht", "Dhr. {} kwam", "door {} gisteren"],
+    "de": ["Unterschrift: {}", "Hochachtungsvoll, {}", "gezeichnet {}", "laut {} wäre", "Frau {} meldete", "Herr {} bestellte", "Dr. {} bestätigt", "Ansprechpartner {}", "verfasst von {}", "Sehr geehrte Frau {}", "bei {} abgeholt", "{} sagte dazu", "{} und"],
+    "en": ["Yours sincerely, {}", "sgd. {}", "as told by {} in", "Mrs {} asked", "Mr. {} agreed", "Dear {}", "written by {}", "collected from {} on", "Attn. {}", "{} said so", "{} and", "signed {}", "Author: {}"],
+    "fr": ["Signature : {}", "soussigné {}", "d'après {}, on", "Mme {} demanda", "M. {} accepta", "Cher {}", "rédigé par {}", "reçu de {} en", "chez {}", "{} disait", "{} et", "Auteur : {}", "À l'attention de {}"],
+    "it": ["In fede, {}", "f.to {}", "stando a {}, si", "La signora {} chiese", "Il dott. {} accettò", "Caro {}", "scritto da {}", "ricevuto da {} nel", "presso {}", "{} diceva", "{} e", "Autore: {}", "Alla c.a. di {}"],
+    "nl": ["Hoogachtend, {}", "w.g. {}", "naar zeggen van {} was", "Mevrouw {} vroeg", "Dhr. {} ging akkoord", "Beste {}", "geschreven door {}", "ontvangen van {} in", "ten huize van {}", "{} zei", "{} en", "Auteur: {}", "T.a.v. {}"],
 }
 PHONE_FRAMES = {
-    "de": ["Tel.: {}", "Fernruf {} (vormittags)", "Mobil: {}", "Die Sammlung ist unter {} zu erreichen", "Telefon {}"],
-    "en": ["Tel. {}", "phone: {}", "Ring {} before noon", "The reading room answers on {} most days", "call {}"],
-    "fr": ["Tél. : {}", "Appeler le {} avant midi", "La salle répond au {} le matin", "tél.: {}", "Portable {}"],
-    "it": ["Tel. {}", "cell.: {}", "Chiamare {} prima di", "La sala risponde allo {} di mattina", "telefono {}"],
-    "nl": ["Tel. {}", "mobiel: {}", "Bel {} vóór de middag", "De leeszaal is op {} te bereiken", "telefoon {}"],
+    "de": ["Tel.: {}", "Rückruf unter {} erbeten", "Mobil: {}", "Durchwahl {}", "Fax {}", "Rufnummer {} wählen", "oder {} (abends)"],
+    "en": ["Tel. {}", "phone: {}", "please dial {} and", "mobile {}", "Fax: {}", "my number is {} if", "or {} (evenings)"],
+    "fr": ["Tél. : {}", "composer le {} svp", "portable: {}", "fax {}", "joindre au {} le", "ou {} (soir)"],
+    "it": ["Tel. {}", "cell.: {}", "comporre il {} oppure", "fax {}", "recapito {}", "o {} (sera)"],
+    "nl": ["Tel. {}", "mobiel: {}", "draai {} en", "fax {}", "doorkiesnummer {}", "of {} ('s avonds)"],
 }
 ID_FRAMES = {
-    "de": ["Steuer-ID: {}", "Ausweis-Nr. {} wurde vorgelegt", "Personenkennzahl {}", "Der Finder gab {} als Kennzahl an", "Perso {}"],
-    "en": ["NI number: {}", "ID: {}", "identity card {}", "SSN {}", "The finder gave {} as identity", "National insurance no. {} was shown"],
-    "fr": ["n° de sécu: {}", "carte d'identité n° {}", "NIR: {}", "Le porteur donna le {} comme numéro", "N° de sécurité sociale {} présenté"],
-    "it": ["C.F.: {}", "Codice fiscale {} esibito", "documento: {}", "carta d'identità n. {}", "Il portatore diede {} come numero"],
-    "nl": ["BSN {} werd getoond", "Burgerservicenummer: {}", "sofinummer {}", "ID-kaart nr. {}", "De vinder gaf {} op als"],
+    "de": ["Steuernummer: {}", "Reisepass {}", "IdNr. {}", "Kennung {} eingetragen", "Sozialversicherung {}", "unter {} gemeldet"],
+    "en": ["NI number: {}", "passport {}", "SSN {}", "ID no. {} recorded", "ID {}", "NI {}", "social security {}", "registered as {} in"],
+    "fr": ["n° de sécu : {}", "passeport {}", "NIR : {}", "NIR {}", "identifiant {} inscrit", "matricule {}", "enregistré sous {} en"],
+    "it": ["C.F.: {}", "CF {}", "passaporto {}", "cod. fisc. {}", "identificativo {} annotato", "tessera {}", "registrato con {} nel"],
+    "nl": ["BSN: {}", "BSN {}", "paspoort {}", "sofi-nr. {}", "identificatie {} genoteerd", "persoonsnummer {}", "ingeschreven als {} in"],
 }
 ADDRESS_FRAMES = {
-    "de": ["Wohnhaft {}, Hinterhaus", "Lieferung an: {}", "Das Fass stand in der {}", "Adresse: {}"],
-    "en": ["Living at {}, rear house", "Deliver to: {}", "The cask stood at {} for years", "Address: {}"],
-    "fr": ["Demeurant {}, fond de cour", "Livrer à : {}", "Le tonneau était au {}", "Adresse : {}"],
-    "it": ["Residente in {}, in fondo", "Consegna a: {}", "La botte stava in {}", "Indirizzo: {}"],
-    "nl": ["Wonende {}, achterhuis", "Bezorgen: {}", "Het vat stond aan de {}", "Adres: {}"],
+    "de": ["Anschrift: {}", "Geschäft in {}", "Besuchen Sie uns: {}, Eingang", "zieht nach {} um", "am Haus {} vorbei"],
+    "en": ["Shop at {}", "Our address: {}", "Visit us, {}, side door", "moving to {} soon", "past {} and"],
+    "fr": ["Siège : {}", "boutique au {}", "Venez au {}, porte", "déménage au {} en", "devant {} puis"],
+    "it": ["Sede: {}", "negozio in {}", "Venite in {}, ingresso", "trasloca in {} a", "davanti a {} poi"],
+    "nl": ["Vestiging: {}", "winkel aan de {}", "Bezoek ons: {}, ingang", "verhuist naar {} in", "langs {} en"],
 }
-EMAIL_FRAMES = ["mailto:{}", "Contact: {}, weekdays", "Write to {} for a copy", "Kontakt: {}", "Scrivere a {} per una", "Contact <{}>", "Queries <{}>", "E-Mail {}"]
+EMAIL_FRAMES = ["e-mail: {}", "Mail {} please", "an {} senden", "envoyer à {} svp", "inviare a {} oppure", "stuur naar {} of", "<{}>", "mailto:{}", "reply-to <{}>", "({})", "[{}]"]
 TITLE = {"de": ["Frau", "Herr", "Herrn"], "en": ["Mrs", "Mr", "Miss"], "fr": ["Mme", "Mlle"], "it": ["La signora", "Sig."], "nl": ["Mevrouw", "Dhr."]}
 PARTICLES = {"de": ["von", "zu", "von der"], "en": [], "fr": ["de", "du", "de la"], "it": ["di", "della", "del"], "nl": ["van", "van der", "ter", "van den"]}
 LURES = {
-    "de": ["Signatur {4} {3} {3}", "Inv.-Nr. {4}-{3} liegt im", "Siehe S. {2}-{3}.", "Preis: {3},{3} Gulden @ Pfund.", "Am {d}.{m}.{y} kam", "Die Viola am Zaun", "In der Gasse der Gerber"],
-    "en": ["Shelf mark {4} {3} {2}", "Inv. no. {4}-{3} is in", "See pp. {3}-{3}.", "Sold @ {3} pence, {3} left.", "On {d}/{m}/{y} it", "Rose Cottage stood", "In the street of the"],
-    "fr": ["Cote {4} {3} {3}", "Inv. n° {4}-{3} est", "Voir p. {2}-{3}.", "Vendu @ {2} sols, reste {3}.", "Le {d}.{m}.{y} il", "La villa Flora était", "Dans la rue des tanneurs"],
-    "it": ["Segnatura {4} {3} {2}", "Inv. n. {4}-{3} sta", "Vedi pp. {3}-{3}.", "Venduto @ {3} soldi, resta {3}.", "Il {d}.{m}.{y} piovve.", "La Viola sul muro", "Nella via dei tintori si"],
-    "nl": ["Plaatsing {4} {3} {3}", "Inv.nr. {4}-{3} ligt", "Zie blz. {2}-{3}.", "Verkocht @ {3} stuivers, rest {3}.", "Op {d}-{m}-{y} viel", "Villa Rosa stond", "In de straat van de"],
+    "de": ["Artikel {4} {3} {3}", "Ref. {4}-{3} im Lager", "vgl. S. {2}-{3}.", "Kosten: {3},{3} Euro @ Stück.", "Stand {d}.{m}.{y} neu", "Bestell-Nr. {4}-{4}", "Gleis {2} links"],
+    "en": ["Item {4} {3} {2}", "Ref. {4}-{3} in stock", "cf. pp. {3}-{3}.", "{3} units @ {2} each.", "dated {d}/{m}/{y} or", "order {4}-{4}", "Platform {2} left"],
+    "fr": ["Article {4} {3} {3}", "Réf. {4}-{3} en stock", "cf. p. {2}-{3}.", "{3} pièces @ {2} francs.", "daté du {d}.{m}.{y} ou", "commande {4}-{4}", "numéro inconnu {2}"],
+    "it": ["Articolo {4} {3} {2}", "Rif. {4}-{3} in magazzino", "cfr. pp. {3}-{3}.", "{3} pezzi @ {2} lire.", "in data {d}.{m}.{y} o", "ordine {4}-{4}", "civico ignoto {2}"],
+    "nl": ["Artikel {4} {3} {3}", "Ref. {4}-{3} op voorraad", "vgl. p. {2}-{3}.", "{3} stuks @ {2} gulden.", "gedateerd {d}-{m}-{y} of", "bestelling {4}-{4}", "spoor {2} links"],
 }
 DE_STREETS, NL_STREETS = ["straße", "str.", "gasse", "weg", "platz", "allee"], ["straat", "gracht", "kade", "steeg", "weg", "laan", "str.", "plein"]
 EN_STREETS, FR_STREETS = ["Street", "St", "Lane", "Row", "Close", "Road", "Rd"], ["rue", "r.", "av.", "avenue", "impasse", "quai", "place", "bd"]
@@ -56,7 +58,9 @@ DOMAINS = ["letters.example", "post.haus.test", "mail.archive.invalid", "odour.e
 SYLLABLES = "ba be bri chou da del fi flan ga gru hei jo ka kle lan lo mar mie na no pa per pli qua ra ren sa schu so sta ta ter tru va ven wol zo zei".split()
 
 #: The share of names after a title or a phrase of signing of which no part is in the lexicon.
-UNLISTED = 0.06
+UNLISTED = 0.15
+#: The share of names of many given names, and of phone numbers written digit by digit.
+LONG = 0.08
 
 
 class Maker:
@@ -80,6 +84,8 @@ class Maker:
         gap = d.choice([" "] * 8 + ["\u00a0", "\u2009"])
         particle = d.choice(PARTICLES[lang]) + " " if PARTICLES[lang] and d.random() < 0.35 else ""
         initials = "".join(d.choice("ABCDEFGHIJKLMNOPRSTVWÉ") + "." + d.choice([" ", " ", ""]) for _ in range(d.randint(1, 2))).strip()
+        if self.apart.random() < LONG:
+            return " ".join([*(self.apart.choice(self.parts["given", lang]) for _ in range(self.apart.randint(3, 9))), particle + surname])
         form = d.random()
         if form < 0.2:
             return f"{surname}, {given if d.random() < 0.9 else initials}"
@@ -101,6 +107,10 @@ class Maker:
         return local + at + domain.replace(".", dot)
 
     def phone(self, lang: str) -> str:
+        number = self._phone(lang)
+        return " ".join(c for c in number if c in "+0123456789") if self.apart.random() < LONG else number
+
+    def _phone(self, lang: str) -> str:
         d, n = self.draw, self.digits
         s = d.choice([" ", " ", " ", "-", ".", "\u00a0", "\u2009"])
         return d.choice(
@@ -152,6 +162,8 @@ class Maker:
             given, surname, title = d.choice(self.parts["given", lang]), d.choice(self.parts["surname", lang]), d.choice(TITLE[lang])
             frame = d.choice(NAME_FRAMES[lang])
             return d.choice([f"{title} {surname}", f"{title} {given}", surname, given, f"{given} {self.word().capitalize()}", f"{self.word().capitalize()} {given}", frame.format(f"{title} {surname}"), frame.format(given), f"{given}, {self.word()}", f"{self.word()}, {surname}, {self.word()}", f"{self.word().capitalize()} {self.word().capitalize()}"])
+        if lang in ("de", "nl") and d.random() < 0.25:  # a word that ends as streets do, before a year
+            return f"{self.word()}{d.choice(DE_STREETS if lang == 'de' else NL_STREETS).rstrip('.')}{d.choice(['', 'ring'])} 1{d.randint(600, 950)}"
         out = d.choice(LURES[lang]).replace("{y}", f"1{d.randint(600, 950)}").replace("{d}", f"{d.randint(1, 28):02d}").replace("{m}", f"{d.randint(1, 12):02d}")
         for n in "234":
             while f"{{{n}}}" in out:
@@ -170,7 +182,7 @@ class Maker:
             nonlocal out
             before, after = frame.split("{}")
             piece = make[kind](lang)
-            if kind == "name" and frame in NAME_FRAMES[lang] and self.apart.random() < UNLISTED:
+            if kind == "name" and CUE.search(before) and self.apart.random() < UNLISTED:
                 piece = self.unlisted()
             out += before
             spans.add((len(out), len(out) + len(piece), kind))

@@ -70,3 +70,39 @@ def test_candidates_without_limits():
 def test_unlisted_names_after_titles():
     found = finder(ROWS, 2500).find_all(["Frau Xorila Dumosel brachte es.", "Signed: Xorila Dumosel saw it."])
     assert [[(s, e) for s, e, kind in spans if kind == "name"] for spans in found] == [[(5, 19)], [(8, 22)]]
+
+
+#: Texts in words of their own, not those of the examples, with what must be found.
+OTHER_WORDS = [
+    ("We owe this recipe to Mary Dracombe, who kept bees.", [("name", "Mary Dracombe")]),
+    ("Lettre reçue; Odile Fimont n'y croit guère.", [("name", "Odile Fimont")]),
+    ("Später half Greta von Bahagen beim Umzug.", [("name", "Greta von Bahagen")]),
+    ("Le chiavi le tiene Zaira di Tuarchi fino a lunedì.", [("name", "Zaira di Tuarchi")]),
+    ("Toen kwam J. P. van Drekamp binnen.", [("name", "J. P. van Drekamp")]),
+    ("Leave a message, +44 1632 960072, any hour.", [("phone", "+44 1632 960072")]),
+    ("Questions go to ivy.wick [at] salt [dot] test, thanks.", [("email", "ivy.wick [at] salt [dot] test")]),
+    ("They sell soap near 12b Old Vat Lane since May.", [("address", "12b Old Vat Lane")]),
+    ("Il vendait du savon, 7 bis rue des Lilas, jadis.", [("address", "7 bis rue des Lilas")]),
+    ("My passport says AB123456C for now.", [("id_number", "AB123456C")]),
+]
+
+
+def test_other_words():
+    model = finder(ROWS, 2500)
+    got = [[(k, t[s:e]) for s, e, k in spans] for (t, _), spans in zip(OTHER_WORDS, model.find_all([t for t, _ in OTHER_WORDS]))]
+    hits = sum(g == want for g, (_, want) in zip(got, OTHER_WORDS))
+    assert hits >= len(OTHER_WORDS) - 1, [x for x in zip(got, OTHER_WORDS) if x[0] != x[1][1]]
+
+
+def test_long_pieces_are_found_whole():
+    model = finder(ROWS, 2500)
+    for kind, piece in (
+        ("email", "a" * 120 + "@letters.example"),
+        ("email", "anna." * 60 + "berg@" + "b" * 40 + ".example"),
+        ("phone", "0 3 0 1 2 3 4 5 6 7 8"),
+        ("phone", "+4 9 3 0 1 2 3 4 5 6 7 8 0"),
+        ("name", "Greta Otto Emil Anna Greta Otto Emil Bahagen"),
+        ("address", "Wolzeitaver" * 9 + "straße 12"),
+    ):
+        text = f"Mr {piece} then" if kind == "name" else f"Tel. {piece} then" if kind == "phone" else f"we saw {piece} then"
+        assert [(k, text[s:e]) for s, e, k in model.find_all([text])[0]] == [(kind, piece)], piece
