@@ -24,6 +24,27 @@ def current_tokens(annotation: DataFrame, *more: str, by: tuple[str, ...] = ())
     return rows.groupBy(*by, *(c for c in POSITION if c not in by)).agg(newest.alias("__row")).select(*by, *(c for c in POSITION if c not in by), "__row.*")
 
 
+def text_sizes(annotation: DataFrame, rows: int = 50_000, most: int = 20_000) -> tuple[int, list[tuple[str, int]]]:
+    """The number of distinct text_id, and (text_id, parts) of the large ones, to be split into so many parts.
+
+    Large is a text of more than ``rows`` rows and of more than 1 / ``most`` of all rows, so there are ``most`` of them at most whatever
+    the table's size; a part of it has about as many rows as the least large text.
+    """
+    sizes = annotation.where("text_id is not null").groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+    limit = max(rows, annotation.count() // most)
+    found = sizes.agg(F.count(F.lit(1)).alias("texts"), F.collect_list(F.when(F.col("n") > limit, F.struct("text_id", "n"))).alias("large")).first()
+    return found.texts, sorted((r.text_id, r.n // limit + 1) for r in found.large)
+
+
+def with_parts(annotation: DataFrame, large: list[tuple[str, int]]) -> DataFrame:
+    """``annotation`` with ``__part``: 0, but in the texts of ``large`` (see text_sizes) one of their parts, the same for all rows of a position."""
+    if not large:
+        return annotation.withColumn("__part", F.lit(0))
+    listed = F.broadcast(annotation.sparkSession.createDataFrame(large, "text_id string, __parts int"))
+    part = F.pmod(F.xxhash64("sent_idx", "token_idx"), F.col("__parts"))
+    return annotation.join(listed, "text_id", "left").withColumn("__part", F.coalesce(part.cast("int"), F.lit(0))).drop("__parts")
+
+
 def running_totals(sizes: DataFrame, key: str, order: str, size: str, span: int = 8192) -> DataFrame:
     """``sizes`` with ``before``, the sum of ``size`` over the rows of the same key that come earlier, and ``total``, that over all.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: A lookup table above this many rows is no lookup table.
 LOOKUP_ROWS = 100_000
@@ -38,3 +39,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = "file://" + os.path.join(tempfile.gettempdir(), "spanloom-checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if a scan gives fewer partitions than there are cores, as files of one row group do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def heavy_keys(df: DataFrame, *key: str, most: int = 64, least: int = 10_000) -> list[int]:
+    """Hashes of the ``most`` most frequent values of ``key`` at most, by a sketch over all rows, that have ``least`` rows or more. For salted_join."""
+    top = df.select(F.xxhash64(*key).alias("h")).agg(F.expr(f"approx_top_k(h, {most}, {16 * most})").alias("top")).first().top
+    return [x["item"] for x in top or [] if x["count"] >= least]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], heavy: list[int], how: str = "inner", salts: int = 64) -> DataFrame:
+    """``left`` joined to ``right`` by ``key``: rows of ``left`` whose key is heavy, or null, spread over ``salts`` partitions, and the few rows of ``right`` that meet them are repeated there.
+
+    ``heavy`` is a bounded list of heavy_keys; which keys are in it changes no result. ``how`` is inner, left or left_semi. ``right`` should be unique by key.
+    """
+    hot: Column = F.xxhash64(*key).isin(heavy) if heavy else F.lit(False)
+    lacking: Column = F.lit(False)
+    for c in key:
+        lacking = lacking | F.col(c).isNull()
+    share = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    a = left.withColumn("__salt", F.when(hot | lacking, share).otherwise(F.lit(0)))
+    b = right.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [*key, "__salt"], how).drop("__salt")
