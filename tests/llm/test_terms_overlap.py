@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 from spanloom.llm.overlap import canonical, edit_distance, overlap_counts, pair_columns, split_overlap
-from spanloom.llm.term_counts import folded, heavy_terms, judged_terms, term_counts, text_terms
+from spanloom.llm.term_counts import folded, heavy_terms, judged_terms, term_counts
+from spanloom.operators.positions import text_sizes
 
 ANNOTATION = "anno_id long, text_id string, sent_idx int, token_idx int, token string, labels string, edited_at timestamp, n long, term string"
 
@@ -36,9 +37,14 @@ def test_counts_whatever_is_heavy(spark):
                 n["tag", tag] += 1
                 t["tag", tag].add(r[1])
     want = {(*k, n[k], len(t[k])) for k in n}
-    terms = text_terms(df, tags).cache()
+    texts, large = text_sizes(df, rows=20, most=30)
+    assert texts == 4 and dict(large)["t1"] > 10
+    assert text_sizes(df, rows=20, most=3)[1] == [("t1", 2)] and text_sizes(df) == (4, [])
     for heavy in ([], [("token", "b"), ("tag", "Time"), ("token", "b"), ("token", "absent")], heavy_terms(df, tags)):
-        assert {tuple(r) for r in term_counts(terms, heavy).collect()} == want
+        for parts, batch in (([], 10_000), ([], 7), (large, 7), ([("t1", 2)], 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {tuple(r) for r in term_counts(df, tags, heavy, parts).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     limits = spark.createDataFrame([("token", 2, 0.75), (None, 1, 1.0)], "field string, min_texts int, max_text_share double")
     got = {(r.field, r.term): r.verdict for r in judged_terms(df, tags, limits).collect()}
     assert got == {k: "rare" if k[0] == "token" and len(t[k]) < 2 else "common" if k[0] == "token" and len(t[k]) > 3 else None for k in n}
