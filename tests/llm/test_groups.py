@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from spanloom.llm.groups import assign_groups, text_groups
+from spanloom.llm.groups import allotted, assign_groups, text_groups
 
 META = "text_id string, author_id string, work_id string, n int, key string"
 
@@ -53,3 +53,32 @@ def test_no_ties_and_no_rows(spark):
     assert text_groups(alone).count() == 0 and assign_groups(alone, config).count() == 2
     assert assign_groups(alone.limit(0), config).count() == 0
     assert assign_groups(alone, config.limit(0)).count() == 0
+
+
+def test_cumulative_weight_at_every_size(spark):
+    """Parts miss their share by one small group, for few groups and for many, with and without a group of a third."""
+    draw = random.Random(9)
+    config = spark.createDataFrame([(1, 4, 0.7, 0.2, 0.1, 3)], "config_id int, num_folds int, train_share double, dev_share double, test_share double, seed int")
+    for n in (40, 3000):
+        rows, at = [], 0
+        for size in [n // 3, *[draw.choice([1, 1, 1, 2, 3, n // 40 + 1]) for _ in range(n // 3)]]:
+            rows += [(f"t{at + i}", f"g{at}") for i in range(size)]
+            at += size
+        groups = spark.createDataFrame(rows, "text_id string, group_id string")
+        meta = groups.select("text_id")
+        got = assign_groups(meta, config, groups).collect()
+        by = Counter(r.split for r in got)
+        assert len(got) == at and all(abs(by[s] - x * at) <= 3 for s, x in (("train", 0.7), ("dev", 0.2), ("test", 0.1))), (n, by)
+        folds = Counter(r.fold for r in got)  # the great group is one fold's, the rest is dealt out evenly
+        great = {r.fold for r in got if r.group_id == "g0"}
+        rest = [folds[f] for f in range(4) if f not in great]
+        assert len(great) == 1 and max(rest) - min(rest) <= 3, folds
+        assert len({r.group_id for r in got}) == len({(r.group_id, r.split) for r in got}) == len({(r.group_id, r.fold) for r in got})
+        small = Counter((r.split, Counter(x.group_id for x in got)[r.group_id] == 1) for r in got) if n < 100 else None
+        assert small is None or all(small[s, True] for s in ("train", "dev"))
+
+
+def test_allotted():
+    assert allotted([(0, 10, 10)], [0.5, 0.3, 0.2])[0][:2] == [5, 8]
+    assert allotted([(5, 1, 6), (0, 4, 4)], [0.6, 0.2, 0.2]) == {5: [6.0, 6.0, float("inf")], 0: [0.0, 2.0, float("inf")]}
+    assert allotted([(0, 3, 3)], [None, 0.0, 1.0])[0][:2] == [0.0, 0.0] and allotted([(0, 3, 3)], [0.0, 0.0])[0][0] == 3
