@@ -16,12 +16,12 @@ FAN = 64
 
 
 def exits(following: np.ndarray, section: int, entries: int) -> np.ndarray:
-    """Where the chains that enter a section at its first ``entries`` places leave it, counted from its end; ``following`` has the jump of each place."""
+    """Where the chains that enter a section at its first ``entries`` places leave it, counted from its end; ``following`` has the jump of each place. 0 where a row ends before its section does."""
     last = max(section, int(following.max(initial=0)))
     to = np.concatenate([following[:section], np.arange(len(following[:section]), last + 1)])
-    while (to[: min(section, len(following))] < section).any():
+    for _ in range(int(section).bit_length()):
         to = to[to]
-    return to[:entries] - section
+    return np.maximum(to[:entries] - section, 0)
 
 
 def section_entries(maps: DataFrame, key: list[str], most: int) -> DataFrame:
