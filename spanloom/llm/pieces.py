@@ -4,21 +4,32 @@ A text is written as its shape, a string of one letter per token: S for the last
 clause, w for any other. One regular expression with bounded quantifiers takes pieces from the shape: as much as fits that ends a
 sentence, else as much as ends a clause, else the limit itself. Lookback offsets into the array of tokens supply the overlap.
 
-No text is gathered whole. Tokens get their offset in the text by running totals over blocks of sentences; sections of a fixed
-number of tokens are shaped apart from each other, each with the tokens just before it, from which it and the section before it
-find the same boundary.
+No text, sentence or block of sentences is gathered whole. Letters are made of the tokens of a sentence by runs of token numbers, and get their
+offset in the text by running totals. Sections of a fixed number of tokens are cut apart from each other: a piece goes over a section's end where
+it must, and the place where the next section's pieces begin follows from what each section does to every possible begin (see
+chains). So the pieces are those that one walk over the whole text takes, whatever the length of sections.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.operators.positions import current_tokens, running_totals
-from spanloom.util import checkpointed, lookup_rows
+from spanloom.operators.chains import exits, section_entries
+from spanloom.operators.positions import POSITION, current_tokens, running_totals
+from spanloom.util import checkpointed, heavy_keys, lookup_rows, salted_join
 
 #: Marks that end a clause.
 CLAUSE = r"^[,;:.!?)\]»”…–—]+$"
+#: Tokens of a section, sentences of a block and token numbers of a run: how the work is split, not what comes out.
+SECTION, BLOCK, RUN = 4096, 64, 4096
+#: Runs that a sentence can have.
+RUNS = 2**31
 
 
 def _cut(limit: Column) -> Column:
@@ -27,81 +38,120 @@ def _cut(limit: Column) -> Column:
     return F.concat(F.lit("(?:.{0,"), less, F.lit("}S|.{0,"), less, F.lit("}C|.{1,"), most, F.lit("})"))
 
 
-def _boundary(window: Column) -> Column:
-    """Letters of ``window`` up to its last sentence end, else its last clause end, else all."""
-    sentence, clause = F.length(F.regexp_extract(window, "^(.*S)", 1)), F.length(F.regexp_extract(window, "^(.*C)", 1))
-    return F.when(sentence > 0, sentence).when(clause > 0, clause).otherwise(F.length(window))
+def _ends(shape: np.ndarray, limit: int) -> np.ndarray:
+    """Where the piece from each place of ``shape`` ends, as _cut takes it."""
+    n = len(shape)
+    at = np.arange(n)
+    through = np.minimum(at + limit, n) - 1
+    sentence, clause = (np.maximum.accumulate(np.where(shape == ord(c), at, -1))[through] for c in "SC")
+    return np.where(sentence >= at, sentence, np.where(clause >= at, clause, through)) + 1
 
 
-def split_oversized(annotation: DataFrame, limits: DataFrame, section: int = 4096, block: int = 64) -> DataFrame:
-    """Pieces of every text: (text_id, lang, max_tokens, start, overlap, tokens, sentences).
+def _section_exits(section: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, shape, most, fresh in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                letters = np.frombuffer(shape.encode(), np.uint8)
+                ways = exits(_ends(letters, fresh), section, section)
+                if k == 0:  # entered at 0 only, and its first piece has no overlap
+                    head = int(_ends(letters[:most], most)[0])
+                    ways[:fresh] = ways[head] if head < section else head - section
+                out.append(ways[:fresh])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["text_id", "k", "exits"])
 
-    ``start`` is the offset in the text of the piece's first new token; ``tokens`` has ``overlap`` tokens from before it, then the new
-    ones, max_tokens at most together; the new ones of all pieces make up the text. ``sentences`` are (sent_idx, new tokens).
-    ``limits`` has lang, max_tokens, overlap_tokens; a text of no listed lang, or null, gets the least max_tokens and its
-    overlap. The lang of a text is the least that its rows name. Overlap is less than half of a limit, else half of it less one.
-    Null tokens count as tokens. An empty table gives no pieces. ``section`` is at least twice the greatest limit.
-    """
+    return run
+
+
+def _keyed(annotation: DataFrame, block: int, run: int) -> DataFrame:
+    """The rows that have a position, with the block of sentences and the run of token numbers they lie in."""
+    return annotation.dropna(subset=[*POSITION]).withColumn("__block", F.expr(f"sent_idx div {block}")).withColumn("__run", F.expr(f"token_idx div {run}"))
+
+
+def placed_letters(annotation: DataFrame, limits: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """(text_id, __block, __run, sent_idx, letters, before, total, lang, max_tokens, ov): the letters of each sentence, or run of one, from offset ``before`` of ``total``."""
     known = [r for r in lookup_rows(limits.select("lang", "max_tokens", "overlap_tokens").dropna()) if r.max_tokens > 0]
     if not known:
         raise ValueError("no limits")
-    section = max(section, 2 * max(r.max_tokens for r in known))
     least = min(known, key=lambda r: (r.max_tokens, r.lang))
     limit, overlap = F.lit(least.max_tokens), F.lit(min(least.overlap_tokens, (least.max_tokens - 1) // 2))
     for r in known:
         limit = F.when(F.col("lang") == r.lang, r.max_tokens).otherwise(limit)
         overlap = F.when(F.col("lang") == r.lang, min(r.overlap_tokens, (r.max_tokens - 1) // 2)).otherwise(overlap)
 
-    blocked = annotation.withColumn("__block", F.expr(f"sent_idx div {block}"))
-    rows = current_tokens(blocked, by=("text_id", "__block"))
-    places = blocked.select("text_id", "__block", "sent_idx", "token_idx", "lang").dropna(subset=["text_id", "sent_idx", "token_idx"]).repartition("text_id", "__block")
-    places = places.groupBy("text_id", "__block", "sent_idx", "token_idx").agg(F.min("lang").alias("__l"))
-    # a row per block of sentences, wanted for sums within texts and over them: made once
-    sizes = checkpointed(places.groupBy("text_id", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__l").alias("__lang")))
-    langs = sizes.groupBy("text_id").agg(F.min("__lang").alias("lang"))
-    base = running_totals(sizes.drop("__lang"), "text_id", "__block", "__n").join(langs, "text_id").select("text_id", "__block", "before", "total", "lang")
-
-    ranked = rows.selectExpr(
-        "*",
-        "row_number() over (partition by text_id, __block order by sent_idx, token_idx) - 1 as __rank",
-        "lead(sent_idx) over (partition by text_id, __block order by sent_idx, token_idx) as __next",
-    )
-    letter = F.when(F.col("__next").isNull() | (F.col("__next") != F.col("sent_idx")), "S").when(F.col("token").rlike(CLAUSE), "C").otherwise("w")
-    placed = ranked.join(base, ["text_id", "__block"]).select("text_id", "lang", "total", (F.col("before") + F.col("__rank")).alias("o"), "sent_idx", "token", letter.alias("c"))
-    placed = placed.withColumn("max_tokens", limit).withColumn("__ov", overlap)
-    k = F.expr(f"o div {section}")
-    ahead = (k + 1) * section
-    also = (F.col("o") >= ahead - F.col("max_tokens") - F.col("__ov")) & (ahead < F.col("total"))
-    sections = placed.withColumn("k", F.explode(F.when(also, F.array(k, k + 1)).otherwise(F.array(k))))
-    sections = sections.groupBy("text_id", "k").agg(
-        F.first("lang").alias("lang"), F.first("total").alias("total"), F.first("max_tokens").alias("max_tokens"), F.first("__ov").alias("ov"), F.sort_array(F.collect_list(F.struct("o", "sent_idx", "token", "c"))).alias("t")
-    )
-    sections = sections.withColumn("shape", F.expr("array_join(transform(t, x -> x.c), '')")).withColumn("o0", F.expr("t[0].o"))
-    edge = lambda at: at - F.col("max_tokens") + _boundary(F.substr("shape", (at - F.col("max_tokens") - F.col("o0") + 1).cast("int"), F.col("max_tokens")))
-    first, last = F.col("k") * section, (F.col("k") + 1) * section
-    sections = sections.withColumn("b", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(edge(first)))
-    sections = sections.withColumn("e", F.when(last >= F.col("total"), F.col("total")).otherwise(edge(last)))
-    body = F.substr("shape", (F.col("b") - F.col("o0") + 1).cast("int"), (F.col("e") - F.col("b")).cast("int"))
-    head, tail = _cut(F.col("max_tokens")), _cut(F.col("max_tokens") - F.col("ov"))
-    sections = sections.withColumn("body", body)
-    sections = sections.withColumn("head", F.when(F.col("b") == 0, F.length(F.regexp_substr("body", head))).otherwise(0))
-    sections = sections.withColumn("fresh", F.concat(F.when(F.col("head") > 0, F.array("head")).otherwise(F.array().cast("array<int>")), F.transform(F.regexp_extract_all(F.expr("substr(body, head + 1)"), tail, F.lit(0)), F.length)))
-    sections = sections.selectExpr("text_id", "lang", "max_tokens", "ov", "o0", "b", "t", "fresh", "posexplode(fresh) as (i, n)")
-    sections = sections.withColumn("start", F.expr("b + aggregate(slice(fresh, 1, i), 0, (a, x) -> a + x)")).withColumn("overlap", F.expr("cast(least(ov, start) as int)"))
-    new = "slice(t, cast(start - o0 + 1 as int), n)"
-    return sections.selectExpr(
-        "text_id",
-        "lang",
-        "max_tokens",
-        "start",
-        "overlap",
-        "transform(slice(t, cast(start - overlap - o0 + 1 as int), overlap + n), x -> x.token) as tokens",
-        f"transform(array_distinct(transform({new}, x -> x.sent_idx)), s -> named_struct('sent_idx', s, 'new_tokens', size(filter({new}, x -> x.sent_idx = s)))) as sentences",
-    )
+    part = ["text_id", "__block", "__run"]
+    rows = _keyed(annotation, block, run).select(*part, "sent_idx", "token_idx", F.coalesce(F.col("token").rlike(CLAUSE), F.lit(False)).alias("c"), "edited_at", "anno_id").repartition(*part)
+    newest = rows.groupBy(*part, "sent_idx", "token_idx").agg(F.max_by("c", F.struct("edited_at", "anno_id")).alias("c"))
+    lettered = newest.groupBy(*part, "sent_idx").agg(F.expr("array_join(transform(sort_array(collect_list(struct(token_idx, c))), x -> if(x.c, 'C', 'w')), '')").alias("letters"))
+    # made once, a byte a token: sums within texts and over them, sections and their entries all come from it
+    lettered = checkpointed(lettered.withColumn("__last", F.col("__run") == F.max("__run").over(W.partitionBy("text_id", "sent_idx"))))
+    sized = lettered.withColumn("n", F.length("letters")).withColumn("__order", F.col("sent_idx").cast("long") * (RUNS // run) + F.col("__run"))
+    totals = running_totals(sized, "text_id", "__order", "n", span=max(1, block) * (RUNS // run))
+    langs = annotation.dropna(subset=[*POSITION]).select("text_id", "lang").distinct().groupBy("text_id").agg(F.min("lang").alias("lang"))
+    placed = salted_join(totals, langs, ["text_id"], heavy_keys(lettered, "text_id")).withColumn("max_tokens", limit).withColumn("ov", overlap)
+    letters = F.when(F.col("__last"), F.expr("concat(substr(letters, 1, n - 1), 'S')")).otherwise(F.col("letters"))
+    return placed.select(*part, "sent_idx", letters.alias("letters"), "before", "total", "lang", "max_tokens", "ov")
+
+
+def _sections(placed: DataFrame, section: int, lookback: Column, ahead: Column) -> DataFrame:
+    """Each row of ``placed`` (before, n, …) once per section k whose tokens, with ``lookback`` before and ``ahead`` behind, it has some of, with those (first, last)."""
+    first, last = F.greatest(F.lit(0), F.col("before") - ahead), F.least(F.col("before") + F.col("n") - 1 + lookback, F.col("total") - 1)
+    rows = placed.withColumn("k", F.explode(F.sequence(F.floor(first / section), F.floor(last / section))))
+    rows = rows.withColumn("first", F.greatest(F.col("before"), F.col("k") * section - lookback))
+    return rows.withColumn("last", F.least(F.col("before") + F.col("n"), (F.col("k") + 1) * section + ahead)).where("first < last")
+
+
+def cut_places(placed: DataFrame, section: int = SECTION) -> DataFrame:
+    """Pieces by their places, of placed_letters: (text_id, lang, max_tokens, ov, k, start, overlap, n, sentences), of section k."""
+    greatest = placed.agg(F.max("max_tokens").alias("m"), F.max("total").alias("n")).first()
+    section = max(section, 2 * (greatest.m or 1))
+    fresh = F.col("max_tokens") - F.col("ov")
+    rows = _sections(placed.withColumn("n", F.length("letters")), section, F.lit(0), fresh)
+    rows = rows.select("text_id", "k", "total", "lang", "max_tokens", "ov", F.struct(F.col("first").alias("o"), "sent_idx", F.expr("substr(letters, cast(first - before + 1 as int), cast(last - first as int))").alias("letters")).alias("l"))
+    cut = rows.groupBy("text_id", "k").agg(F.first("lang").alias("lang"), F.first("total").alias("total"), F.first("max_tokens").alias("max_tokens"), F.first("ov").alias("ov"), F.sort_array(F.collect_list("l")).alias("ls"))
+    cut = cut.withColumn("shape", F.expr("array_join(transform(ls, x -> x.letters), '')"))
+    maps = cut.where(F.col("total") > section).select("text_id", "k", "shape", "max_tokens", fresh.alias("fresh")).mapInArrow(_section_exits(section), "text_id string, k long, exits array<int>")
+    cut = cut.join(section_entries(maps, ["text_id"], -(-(greatest.n or 1) // section)), ["text_id", "k"], "left")
+    cut = cut.withColumn("entry", F.coalesce("entry", F.lit(0))).withColumn("body", F.expr("substr(shape, entry + 1)"))
+    cut = cut.withColumn("head", F.when(F.col("k") == 0, F.length(F.regexp_substr("body", _cut(F.col("max_tokens"))))).otherwise(0))
+    sizes = F.transform(F.regexp_extract_all(F.expr("substr(body, head + 1)"), _cut(fresh), F.lit(0)), F.length)
+    cut = cut.withColumn("sizes", F.concat(F.when(F.col("head") > 0, F.array("head")).otherwise(F.array().cast("array<int>")), sizes))
+    cut = cut.selectExpr("text_id", "lang", "max_tokens", "ov", "k", "entry", "ls", "sizes", "posexplode(sizes) as (i, n)")
+    cut = cut.withColumn("start", F.expr(f"k * {section} + entry + aggregate(slice(sizes, 1, i), 0, (a, x) -> a + x)")).where(F.col("start") < (F.col("k") + 1) * section)
+    mine = "filter(ls, x -> x.o < start + n and x.o + length(x.letters) > start)"
+    spans = f"transform({mine}, x -> named_struct('s', x.sent_idx, 'n', cast(least(start + n, x.o + length(x.letters)) - greatest(start, x.o) as int)))"
+    cut = cut.withColumn("spans", F.expr(spans)).withColumn("overlap", F.expr("cast(least(ov, start) as int)"))
+    sentences = "transform(array_distinct(transform(spans, x -> x.s)), s -> named_struct('sent_idx', s, 'new_tokens', aggregate(filter(spans, x -> x.s = s), 0, (a, x) -> a + x.n)))"
+    return cut.select("text_id", "lang", "max_tokens", "ov", "k", "start", "overlap", "n", F.expr(sentences).alias("sentences"), F.lit(section).alias("section"))
+
+
+def split_oversized(annotation: DataFrame, limits: DataFrame, section: int = SECTION, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """Pieces of every text: (text_id, lang, max_tokens, start, overlap, tokens, sentences).
+
+    ``start`` is the offset in the text of the piece's first new token; ``tokens`` has ``overlap`` tokens from before it, then the new
+    ones, max_tokens at most together; the new ones of all pieces make up the text. ``sentences`` are (sent_idx, new tokens).
+    ``limits`` has lang, max_tokens, overlap_tokens; a text of no listed lang, or null, gets the least max_tokens and its
+    overlap. The lang of a text is the least that its rows name. Overlap is less than half of a limit, else half of it less one.
+    Null tokens count as tokens. An empty table gives no pieces. ``section`` is raised to twice the greatest limit; it, ``block`` and ``run`` change no piece.
+    """
+    placed = placed_letters(annotation, limits, block, run)
+    cut = cut_places(placed, section)
+    section = max(section, 2 * (placed.agg(F.max("max_tokens")).first()[0] or 1))
+    part = ["text_id", "__block", "__run"]
+    tokens = current_tokens(_keyed(annotation, block, run), by=tuple(part))
+    tokens = tokens.groupBy(*part, "sent_idx").agg(F.expr("sort_array(collect_list(struct(token_idx, token))).token").alias("tokens"))
+    places = placed.groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("sent_idx", "before"))).alias("at"), F.first("total").alias("total"), F.first("max_tokens").alias("max_tokens"), F.first("ov").alias("ov"))
+    tokens = tokens.join(places, part).withColumn("before", F.expr("at[sent_idx]")).withColumn("n", F.size("tokens"))
+    rows = _sections(tokens, section, F.col("ov"), F.col("max_tokens") - F.col("ov"))
+    rows = rows.select("text_id", "k", F.struct(F.col("first").alias("o"), F.expr("slice(tokens, cast(first - before + 1 as int), cast(last - first as int))").alias("tokens")).alias("t"))
+    rows = rows.groupBy("text_id", "k").agg(F.sort_array(F.collect_list("t")).alias("t")).selectExpr("text_id", "k", "t[0].o as o0", "flatten(transform(t, x -> x.tokens)) as tokens")
+    cut = cut.groupBy("text_id", "k").agg(F.first("lang").alias("lang"), F.first("max_tokens").alias("max_tokens"), F.collect_list(F.struct("start", "overlap", "n", "sentences")).alias("p"))
+    pieces = cut.join(rows, ["text_id", "k"]).selectExpr("text_id", "lang", "max_tokens", "tokens as all", "o0", "inline(p)")
+    return pieces.selectExpr("text_id", "lang", "max_tokens", "start", "overlap", "slice(all, cast(start - overlap - o0 + 1 as int), overlap + n) as tokens", "sentences")
 
 
 def oversized(pieces: DataFrame) -> DataFrame:
-    """(text_id, sent_idx): with sent_idx 0 the texts, else the sentences that had to be cut, being larger than their limit."""
+    """(text_id, sent_idx) of pieces, or of their places: with sent_idx 0 the texts, else the sentences that had to be cut, being larger than their limit."""
     parts = pieces.select("text_id", "max_tokens", F.explode("sentences").alias("s")).select("text_id", "max_tokens", "s.sent_idx", F.col("s.new_tokens").alias("n"))
     sentences = parts.groupBy("text_id", "sent_idx").agg(F.sum("n").alias("n"), F.first("max_tokens").alias("m"))
     texts = sentences.groupBy("text_id").agg(F.lit(0).alias("sent_idx"), F.sum("n").alias("n"), F.first("m").alias("m"))

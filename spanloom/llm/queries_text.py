@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.overlap import overlap_counts, pair_columns, split_overlap
-from spanloom.llm.pieces import oversized, split_oversized
+from spanloom.llm.pieces import cut_places, oversized, placed_letters, split_oversized
 from spanloom.llm.term_counts import judged_terms
 from spanloom.plans.loading import VALUES
 from spanloom.util import table
@@ -17,8 +17,8 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts and sentences that are larger than their limit."""
-    return oversized(p1_pieces(spark, sf_dir))
+    """The texts and sentences that are larger than their limit: those that the operator cuts. Their tokens aren't looked up."""
+    return oversized(cut_places(placed_letters(table(spark, sf_dir, "annotation"), table(spark, sf_dir, "chunk_limit"))))
 
 
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
