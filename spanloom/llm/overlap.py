@@ -4,6 +4,9 @@ Sentences are canonicalised and hashed; equal ones form a class, so copies are c
 cut into one segment more than the edits allowed, and the segments hashed: within those edits, one segment must stand unchanged in
 the other sentence. Evaluation classes hash all their runs of words of those lengths, and the hashes are joined. Length and place rule
 out most chance matches in the join; the edit distance of the rest is exact. No similar pair can be missed, and no cap is set.
+
+Results come as pairs of classes with the sentences of each class, which grow with the sentences, however many copies a class has; counts are
+products of the numbers of copies. Pairs of sentences are spelled out only where they are asked for.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.positions import current_tokens
-from spanloom.util import checkpointed
+from spanloom.util import checkpointed, heavy_keys, salted_join
 
 LEAST_WORDS = 10
 #: Edits allowed for n words: 15 percent, in whole numbers.
@@ -105,48 +108,69 @@ def _segments(classes: DataFrame, level: int) -> DataFrame:
     return rows.selectExpr("h_train", "l", f"{level} as level", f"inline(transform(sequence(0, cast(k as int) - 1), i -> named_struct('p', cast({place} as int), 'key', xxhash64(slice(words, cast({place} + 1 as int), cast(l div k + if(i >= k - l % k, 1, 0) as int))))))")
 
 
-def segment_index(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, tuple[int, ...]]:
-    """(h_train, l, p, key) to look up runs of words in, and the lengths of runs to look up.
+def segment_index(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame | None, tuple[int, ...]]:
+    """(h_train, l, p, key) to look up runs of words in, the same of classes that keep hot segments, if there are any, and the lengths of runs to look up.
 
     A segment that more than ``hot`` classes share would pair them all. With n segments more than needed, n more stand unchanged, so n hot ones can be left out and
     still no pair is missed: each class takes the fewest segments of which so few are hot. Only a class without such a number keeps its hot ones.
     """
     plain = _segments(classes, 0)
     if plain.groupBy("key").count().where(F.col("count") > hot).isEmpty():
-        return plain.drop("level"), SEGMENTS
+        return plain.drop("level"), None, SEGMENTS
     levels = checkpointed(reduce(DataFrame.unionByName, (_segments(classes, n) for n in range(LEVELS))))
     shared = levels.groupBy("level", "key").count().where(F.col("count") > hot).select("level", "key", F.lit(1).alias("hot"))
     flagged = levels.join(shared, ["level", "key"], "left")
-    chosen = flagged.groupBy("h_train", "level").agg(F.count("hot").alias("n")).where("n <= level").groupBy("h_train").agg(F.min("level").alias("level"))
+    chosen = checkpointed(flagged.groupBy("h_train", "level").agg(F.count("hot").alias("n")).where("n <= level").groupBy("h_train").agg(F.min("level").alias("level")))
     good = flagged.where("hot is null").join(chosen, ["h_train", "level"])
-    rest = plain.join(chosen, "h_train", "left_anti")
     columns = ["h_train", "l", "p", "key"]
-    return good.select(*columns).unionByName(rest.select(*columns)), (2, 3, *SEGMENTS)
+    return good.select(*columns), plain.join(chosen, "h_train", "left_anti").select(*columns), (2, 3, *SEGMENTS)
 
 
 def similar_classes(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """(h_train, h_eval, edits) of classes (h, words, in_train, in_eval) of different words within the edits allowed."""
-    index, sizes = segment_index(classes, hot)
+    index, kept, sizes = segment_index(classes, hot)
     runs = "concat(" + ", ".join(f"transform(sequence(1, size(words) - {g - 1}), q -> named_struct('q', q - 1, 'key', xxhash64(slice(words, q, {g}))))" for g in sizes) + ")"
     probe = classes.where("in_eval").selectExpr("h as h_eval", "size(words) as m", f"inline({runs})")
+    met = index.join(probe, "key")
+    if kept is not None:  # segments that stay hot: their classes are dealt out, the runs that meet them repeated
+        met = met.unionByName(salted_join(kept, probe, ["key"], heavy_keys(kept, "key", least=hot)))
     most = EDITS.format(n="greatest(l, m)")
-    pairs = index.join(probe, "key").where(f"h_train <> h_eval and abs(l - m) <= {most} and abs(p - q) <= {most}").select("h_train", "h_eval").distinct()
+    pairs = met.where(f"h_train <> h_eval and abs(l - m) <= {most} and abs(p - q) <= {most}").select("h_train", "h_eval").distinct()
     pairs = pairs.join(classes.selectExpr("h as h_train", "words as a"), "h_train").join(classes.selectExpr("h as h_eval", "words as b"), "h_eval")
     return pairs.select("h_train", "h_eval", "a", "b").mapInArrow(_near, "h_train binary, h_eval binary, edits int")
 
 
-def split_overlap(annotation: DataFrame, split_assign: DataFrame, hot: int = HOT) -> DataFrame:
-    """(text_id_train, sent_idx_train, text_id_eval, sent_idx_eval, split, edits): each pair of a training and an evaluation sentence
+def class_overlap(annotation: DataFrame, split_assign: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(text_id, sent_idx, split, h), the sentences that can overlap with the class of each, and (h_train, h_eval, edits), the pairs of classes
     that are equal or within 15 percent of edits. Texts without a split are left out, as are sentences of fewer than 10 words.
     """
-    sentences = checkpointed(sentence_words(annotation).join(text_sides(split_assign), "text_id"))
+    words = checkpointed(salted_join(sentence_words(annotation), text_sides(split_assign), ["text_id"], heavy_keys(annotation, "text_id")))
     train = F.col("split") == "train"
-    classes = checkpointed(sentences.groupBy("h").agg(F.any_value("words").alias("words"), F.bool_or(train).alias("in_train"), F.bool_or(~train).alias("in_eval")))
+    classes = checkpointed(words.groupBy("h").agg(F.any_value("words").alias("words"), F.bool_or(train).alias("in_train"), F.bool_or(~train).alias("in_eval")))
     same = classes.where("in_train and in_eval").selectExpr("h as h_train", "h as h_eval", "0 as edits")
-    pairs = same.unionByName(similar_classes(classes, hot))
+    return words.drop("words"), same.unionByName(similar_classes(classes, hot))
+
+
+def split_overlap(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text_id_train, sent_idx_train, text_id_eval, sent_idx_eval, split, edits): each pair of a training and an evaluation sentence of class_overlap, copies spelled out."""
+    train = F.col("split") == "train"
     left = sentences.where(train).selectExpr("h as h_train", "text_id as text_id_train", "sent_idx as sent_idx_train")
     right = sentences.where(~train).selectExpr("h as h_eval", "text_id as text_id_eval", "sent_idx as sent_idx_eval", "split")
-    return pairs.join(left, "h_train").join(right, "h_eval").drop("h_train", "h_eval")
+    half = salted_join(left, pairs, ["h_train"], heavy_keys(left, "h_train"))
+    return salted_join(half, right, ["h_eval"], heavy_keys(right, "h_eval")).drop("h_train", "h_eval")
+
+
+def class_members(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text_id, sent_idx, split, class_id, links): each sentence of class_overlap once, with its class and the number of sentences of the other side that it overlaps with."""
+    side = F.when(F.col("split") == "train", "train").otherwise("eval")
+    sizes = checkpointed(sentences.groupBy("h", side.alias("side")).agg(F.count(F.lit(1)).alias("n")))
+    count = lambda which: sizes.where(F.col("side") == which).select(F.col("h").alias(f"h_{which}"), "n")
+    pairs = checkpointed(pairs)
+    to_eval = pairs.join(count("eval"), "h_eval").groupBy(F.col("h_train").alias("h")).agg(F.sum("n").alias("links")).withColumn("side", F.lit("train"))
+    to_train = pairs.join(count("train"), "h_train").groupBy(F.col("h_eval").alias("h")).agg(F.sum("n").alias("links")).withColumn("side", F.lit("eval"))
+    sided = sentences.withColumn("side", side)
+    named = salted_join(sided, to_eval.unionByName(to_train), ["h", "side"], heavy_keys(sided, "h", "side"), "left")
+    return named.select("text_id", "sent_idx", "split", F.lower(F.hex("h")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def pair_columns(overlap: DataFrame) -> DataFrame:
@@ -161,9 +185,16 @@ def pair_columns(overlap: DataFrame) -> DataFrame:
     )
 
 
-def overlap_counts(overlap: DataFrame, text_meta: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation text: pairs, the exact ones among them, and evaluation sentences met; source by the latest row of text_meta, null if none."""
-    sources = text_meta.where("text_id is not null").groupBy(F.col("text_id").alias("text_id_eval")).agg(F.max_by("source", F.struct("catalogued_at", "source")).alias("source"))
-    per_sentence = overlap.groupBy("split", "text_id_eval", "sent_idx_eval").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("exact"))
-    per_text = per_sentence.groupBy("split", "text_id_eval").agg(F.sum("n").alias("n"), F.sum("exact").alias("exact"), F.count(F.lit(1)).alias("sentences"))
-    return per_text.join(sources, "text_id_eval", "left").groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.sum("exact").alias("exact_pairs"), F.sum("sentences").alias("eval_sentences"))
+def overlap_counts(sentences: DataFrame, pairs: DataFrame, text_meta: DataFrame) -> DataFrame:
+    """Per split and source of the evaluation text: pairs, the exact ones among them, and evaluation sentences met; source by the latest row of text_meta, null if none.
+
+    Pairs are products of the numbers of copies, so none is spelled out.
+    """
+    train = F.col("split") == "train"
+    sources = text_meta.where("text_id is not null").groupBy("text_id").agg(F.max_by("source", F.struct("catalogued_at", "source")).alias("source"))
+    right = sentences.where(~train)
+    right = salted_join(right, sources, ["text_id"], heavy_keys(right, "text_id"), "left").groupBy(F.col("h").alias("h_eval"), "split", "source").agg(F.count(F.lit(1)).alias("sentences"))
+    left = sentences.where(train).groupBy(F.col("h").alias("h_train")).agg(F.count(F.lit(1)).alias("n"))
+    each = pairs.join(left, "h_train").groupBy("h_eval").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("edits") == 0, F.col("n")).otherwise(0)).alias("exact"))
+    met = right.join(each, "h_eval")
+    return met.groupBy("split", "source").agg(F.sum(F.col("n") * F.col("sentences")).alias("pairs"), F.sum(F.col("exact") * F.col("sentences")).alias("exact_pairs"), F.sum("sentences").alias("eval_sentences"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.overlap import overlap_counts, pair_columns, split_overlap
+from spanloom.llm.overlap import class_members, class_overlap, overlap_counts, pair_columns, split_overlap
 from spanloom.llm.pieces import cut_places, oversized, placed_letters, split_oversized
 from spanloom.llm.term_counts import judged_terms
 from spanloom.plans.loading import VALUES
@@ -36,18 +36,23 @@ def p5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_terms(spark, sf_dir).where("field = 'token'").select("term", "occurrences", "texts", "verdict")
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap(table(spark, sf_dir, "annotation"), table(spark, sf_dir, "split_assign"))
+def _overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return class_overlap(table(spark, sf_dir, "annotation"), table(spark, sf_dir, "split_assign"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a training and an evaluation sentence that are equal or almost."""
-    return pair_columns(_overlap(spark, sf_dir))
+    return pair_columns(split_overlap(*_overlap(spark, sf_dir)))
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their counts per split and source."""
-    return overlap_counts(_overlap(spark, sf_dir), table(spark, sf_dir, "text_meta"))
+    return overlap_counts(*_overlap(spark, sf_dir), table(spark, sf_dir, "text_meta"))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence with its class and its number of links to the other side."""
+    return class_members(*_overlap(spark, sf_dir))
 
 
 POSITIONS = """
@@ -55,7 +60,7 @@ positions AS (
   SELECT text_id, sent_idx, token_idx, arg_max(token, (edited_at, anno_id)) AS token, min(lang) AS lang
   FROM annotation WHERE text_id IS NOT NULL AND sent_idx IS NOT NULL AND token_idx IS NOT NULL GROUP BY ALL)"""
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_terms": p5_terms, "p5_tokens": p5_tokens, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_terms": p5_terms, "p5_tokens": p5_tokens, "p6_found": p6_found, "p6_counts": p6_counts, "p6_classes": p6_classes}
 TERMS = f"""
 WITH {POSITIONS.strip()}, {VALUES.strip()},
 uses AS (

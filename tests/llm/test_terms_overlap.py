@@ -5,7 +5,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
 
-from spanloom.llm.overlap import canonical, edit_distance, overlap_counts, pair_columns, split_overlap
+from spanloom.llm.overlap import canonical, class_members, class_overlap, edit_distance, overlap_counts, pair_columns, split_overlap
 from spanloom.llm.term_counts import folded, heavy_terms, judged_terms, term_counts
 from spanloom.operators.positions import text_sizes
 
@@ -91,7 +91,9 @@ def test_all_pairs_are_found(spark):
     rows += [(0, "t0", 1, 0, "older", None, None, 0, "")]
     sides = {f"t{t}": ["train", "Dev", " test "][t % 3] for t in range(29)}
     assign = spark.createDataFrame([(t, x, day(2)) for t, x in sides.items()] + [("t0", "test", day(1)), (None, "dev", day(1))], "text_id string, split string, assigned_at timestamp")
-    got = split_overlap(spark.createDataFrame(rows, ANNOTATION), assign)
+    df = spark.createDataFrame(rows, ANNOTATION)
+    both = class_overlap(df, assign)
+    got = split_overlap(*both)
     found = sorted(map(tuple, pair_columns(got).collect()))
     plain = {k: [c for w in ws if w is not None and (c := canonical(w)) is not None] for k, ws in sentences.items() if k[0] in sides}
     want = []
@@ -101,9 +103,26 @@ def test_all_pairs_are_found(spark):
                 want.append((t, s, u, r) if t < u else (u, r, t, s))
     assert found == sorted(want) and len(want) > 60
     for hot in (0, 2, 8):  # whatever counts as a segment that too many share
-        again = split_overlap(spark.createDataFrame(rows, ANNOTATION), assign, hot=hot)
+        again = split_overlap(*class_overlap(df, assign, hot=hot))
         assert sorted(map(tuple, pair_columns(again).collect())) == found
     meta = spark.createDataFrame([("t1", "old", day(1)), ("t1", "new", day(2))], "text_id string, source string, catalogued_at timestamp")
-    counts = overlap_counts(got, meta).collect()
+    counts = overlap_counts(*both, meta).collect()
     assert sum(r.pairs for r in counts) == len(want) and {r.source for r in counts} == {"new", None}
-    assert split_overlap(spark.createDataFrame([], ANNOTATION), assign).count() == 0
+    assert sum(r.exact_pairs for r in counts) == got.where("edits = 0").count() and sum(r.eval_sentences for r in counts) == got.select("text_id_eval", "sent_idx_eval").distinct().count()
+    links = Counter(x for t, s, u, r in want for x in ((t, s), (u, r)))
+    members = class_members(*both).collect()
+    assert {(r.text_id, r.sent_idx): r.links for r in members} == {k: links[k] for k, ws in plain.items() if len(ws) >= 10}
+    assert all((plain[a.text_id, a.sent_idx] == plain[b.text_id, b.sent_idx]) == (a.class_id == b.class_id) for a in members[:20] for b in members)
+    assert split_overlap(*class_overlap(spark.createDataFrame([], ANNOTATION), assign)).count() == 0
+
+
+def test_copies_are_counted_and_not_paired(spark):
+    """A class of many copies on both sides: its rows and counts grow with the sentences, though its pairs are their product."""
+    n = 3000
+    tokens = spark.range(2 * n * 10).selectExpr("id as anno_id", "concat('t', (id div 10) % 2) as text_id", "cast(id div 20 as int) as sent_idx", "cast(id % 10 as int) as token_idx", "concat('w', id % 10) as token", "timestamp'2024-01-01' as edited_at")
+    assign = spark.createDataFrame([("t0", "train", day(1)), ("t1", "test", day(1))], "text_id string, split string, assigned_at timestamp")
+    meta = spark.createDataFrame([], "text_id string, source string, catalogued_at timestamp")
+    both = class_overlap(tokens, assign)
+    assert [tuple(r) for r in overlap_counts(*both, meta).collect()] == [("test", None, n * n, n * n, n)]
+    members = class_members(*both)
+    assert members.count() == 2 * n and {r.links for r in members.select("links").distinct().collect()} == {n}
