@@ -1,12 +1,16 @@
 """Ids against two libraries, and totals against plain sums."""
 
+import os
 import random
+from collections import Counter
 from datetime import datetime
 
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from spanloom.llm.tokens import Encoder, document_tokens, document_totals, encode_texts, token_totals, train_tokens, vocabulary_path
+from spanloom.llm.tokens import Encoder, Kinds, document_tokens, document_totals, encode_texts, slice_columns, token_totals, train_tokens, vocabulary_path
+from spanloom.util import heavy_keys
 
 DOCUMENTS = "doc_id long, text string, source string, lang string, domain string, ids int, h string, n_tokens int"
 
@@ -18,6 +22,8 @@ def texts():
     out += [c * n for c in ("a", "ab", "xyzzy", " ", "'", "'s", "\n ", "漢", "é1", "?!", "\x1c") for n in (511, 9000)]
     out += ["".join(draw.choice("abcdefghij") for _ in range(30_000)), "".join(draw.choice("etaoin") for _ in range(20_000)) + " tail", "x" * 9000 + "'s" * 5000 + " " * 9000 + "y"]
     out += ["".join(draw.choice("ab \n'1") for _ in range(40_000)), "w" * 8191 + " " + "w" * 8200, "the smell of it " * 9000]
+    out += [c * 9000 + x + c * 9000 for c in ("ab", "漢", "5") for x in ("\x1c", "\u0378", "\U000e0fff", "\u2028", "\ufffd")]
+    out += ["".join(draw.choice("abcdefghijkl") for _ in range(50_000)), "é" * 40_000, "!?" * 20_000 + "'s" * 9000, "\u00a0\u2003" * 20_000 + "x"]
     return out
 
 
@@ -33,11 +39,53 @@ def test_ids_like_two_libraries(spark):
         if len(x) < 20_000:
             assert ids == other.encode(x, add_special_tokens=False).ids
     for n in range(20):
-        piece = bytes(random.Random(n).choices(b"etaoinshr", k=4000))
-        assert encode.piece(piece) == plain._core_bpe.encode_single_piece(piece)
+        piece = "".join(random.Random(n).choices("etaoinshré漢", k=4000))
+        assert encode.piece(piece) == plain._core_bpe.encode_single_piece(piece.encode())
     assert encode(None) == encode("") == []
 
 
+def test_kinds_of_characters():
+    """What the library takes a character for, also where it has no category here."""
+    kind = Kinds()
+    assert "".join(map(kind, "aé漢ſ1２½ \n\xa0\u2028.!'\x1c\u0301😷_")) == "LLLLNNNSSSSPPPPPPP"
+    assert kind("\u0378") in "LNSP"
+
+
+def test_totals_from_ids(spark):
+    """Totals of documents against the ids of each."""
+    folder = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    documents = spark.read.parquet(folder)
+    n = {r.doc_id: len(r.ids) for r in encode_texts(documents).collect()}
+    want = Counter()
+    for r in slice_columns(documents).collect():
+        want[r.source, r.lang, r.domain, "texts"] += 1
+        want[r.source, r.lang, r.domain, "tokens"] += n[r.doc_id]
+    got = Counter()
+    for r in document_totals(documents).collect():
+        got[r.source, r.lang, r.domain, "texts"], got[r.source, r.lang, r.domain, "tokens"] = r.texts, r.tokens
+    assert got == want and sum(n.values()) > 10_000
+    tokens = document_tokens(documents).collect()
+    assert {int(r.text_id): r.n_tokens for r in tokens} == n
+
+
+def test_copies_of_whole_texts(spark, monkeypatch):
+    """Equal annotation texts are encoded once and counted each; whatever is salted."""
+    day = datetime(2024, 1, 1)
+    rows = [(i, f"t{t}", "de", s, k, f"w{(t % 3) * s + k}", day) for i, (t, s, k) in enumerate((t, s, k) for t in range(9) for s in range(1, 200) for k in range(1, 4))]
+    annotation = spark.createDataFrame(rows, "anno_id long, text_id string, lang string, sent_idx int, token_idx int, token string, edited_at timestamp")
+    assign = spark.createDataFrame([(f"t{t}", 0, "train", "de/0.tsv", day) for t in range(9)], "text_id string, fold_num int, split string, data_path string, assigned_at timestamp")
+    config = spark.createDataFrame([("de", 0, "de/0.tsv", 1)], "lang string, fold_num int, train_data_path string, released int")
+    meta = spark.createDataFrame([], "text_id string, source string, catalogued_at timestamp")
+    encode = Encoder(vocabulary_path())
+    want = {f"t{t}": sum(len(encode("".join(f" w{(t % 3) * s + k}" for k in range(1, 4)))) for s in range(1, 200)) for t in range(9)}
+    assert {r.text_id: r.n_tokens for r in train_tokens(annotation, assign, config, meta).collect()} == want
+    monkeypatch.setattr("spanloom.llm.tokens.heavy_keys", lambda df, *key: heavy_keys(df, *key, least=2))
+    assert {r.text_id: r.n_tokens for r in train_tokens(annotation, assign, config, meta).collect()} == want
+    assert sorted(r.n_tokens for r in document_tokens(spark.createDataFrame([(i, "a smell" if i % 2 else None, "s", "en", "d", 0, "", 0) for i in range(50)], DOCUMENTS)).collect()) == [0] * 25 + [len(encode("a smell"))] * 25
+
+
 def test_rows(spark):
     rows = [(1, "a smell", "S ", "en-EN", "d", 0, "", 0), (1, "a smell", "S ", "en-EN", "d", 0, "", 0), (2, "a smell", "s", "EN", "d", 0, "", 0), (3, None, None, None, None, 0, "", 0), (4, "", "s", "de", None, 0, "", 0)]
     df = spark.createDataFrame(rows, DOCUMENTS)
