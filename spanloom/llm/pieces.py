@@ -116,7 +116,8 @@ def cut_places(placed: DataFrame, section: int = SECTION) -> DataFrame:
     cut = cut.withColumn("head", F.when(F.col("k") == 0, F.length(F.regexp_substr("body", _cut(F.col("max_tokens"))))).otherwise(0))
     sizes = F.transform(F.regexp_extract_all(F.expr("substr(body, head + 1)"), _cut(fresh), F.lit(0)), F.length)
     cut = cut.withColumn("sizes", F.concat(F.when(F.col("head") > 0, F.array("head")).otherwise(F.array().cast("array<int>")), sizes))
-    cut = cut.selectExpr("text_id", "lang", "max_tokens", "ov", "k", "entry", "ls", "sizes", "posexplode(sizes) as (i, n)")
+    # outer, as else the optimizer has the expressions cut once more to see that there are pieces; there always are
+    cut = cut.selectExpr("text_id", "lang", "max_tokens", "ov", "k", "entry", "ls", "sizes", "posexplode_outer(sizes) as (i, n)")
     cut = cut.withColumn("start", F.expr(f"k * {section} + entry + aggregate(slice(sizes, 1, i), 0, (a, x) -> a + x)")).where(F.col("start") < (F.col("k") + 1) * section)
     mine = "filter(ls, x -> x.o < start + n and x.o + length(x.letters) > start)"
     spans = f"transform({mine}, x -> named_struct('s', x.sent_idx, 'n', cast(least(start + n, x.o + length(x.letters)) - greatest(start, x.o) as int)))"
@@ -152,7 +153,8 @@ def split_oversized(annotation: DataFrame, limits: DataFrame, section: int = SEC
 
 def oversized(pieces: DataFrame) -> DataFrame:
     """(text_id, sent_idx) of pieces, or of their places: with sent_idx 0 the texts, else the sentences that had to be cut, being larger than their limit."""
-    parts = pieces.select("text_id", "max_tokens", F.explode("sentences").alias("s")).select("text_id", "max_tokens", "s.sent_idx", F.col("s.new_tokens").alias("n"))
+    # outer, as else the optimizer has the arrays made once more to see that they aren't empty; none is
+    parts = pieces.select("text_id", "max_tokens", F.explode_outer("sentences").alias("s")).select("text_id", "max_tokens", "s.sent_idx", F.col("s.new_tokens").alias("n"))
     sentences = parts.groupBy("text_id", "sent_idx").agg(F.sum("n").alias("n"), F.first("max_tokens").alias("m"))
     texts = sentences.groupBy("text_id").agg(F.lit(0).alias("sent_idx"), F.sum("n").alias("n"), F.first("m").alias("m"))
     return texts.unionByName(sentences).where("n > m").select("text_id", "sent_idx")
