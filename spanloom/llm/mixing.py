@@ -1,10 +1,10 @@
 """A mixture of sources at target shares of its tokens, by soft membership.
 
 Documents of a known source belong to it. For those without, a classifier fitted on a bounded sample of labelled rows gives the
-probability of each source. Rates, how often a document is taken, come from projected-gradient least squares: each step is one pass over
-all documents, which adds up the expected tokens of each source, and moves every rate against the misses of its sources, within 0
-and its cap. Only the misses, one number per source and step, travel between driver and tasks. Rates become whole repeats by cumulative
-tokens in an order drawn by hash.
+probability of each source. A document's rate, how often it is taken, is the mean of its sources' rates under its probabilities, so a source's expected
+tokens depend on the documents only through two sums: the tokens of known documents of each source, and for documents without source the tokens of
+each pair of sources. Both are made in one distributed pass; projected-gradient least squares then moves the sources' rates against their misses, within 0
+and their caps, without another pass. Rates become whole repeats by cumulative tokens in an order drawn by hash.
 """
 
 from __future__ import annotations
@@ -24,18 +24,21 @@ from spanloom.util import checkpointed, lookup_rows
 #: Labelled rows that the classifier is fitted on, in expectation; at most half as many more.
 SAMPLE = 3000
 WIDTH = 2048
-STEPS, CLOSE = 60, 1e-4
-#: The part of the total below which a step's change counts as none.
-REST = 1e-6
+#: Steps at most, beyond which the fit raises; and the change of all rates below which it rests.
+STEPS, REST = 100_000, 1e-9
+#: Sources at most: pairs of them are summed.
+SOURCES = 1000
+#: The share by which a source may fall short of its target and still counts as served.
+CLOSE = 0.01
 #: As a total: the greatest at which no source falls short.
 FEASIBLE = "feasible"
 
 
-def _bag(texts: list[str]) -> np.ndarray:
-    """Rows of word shares, words hashed to WIDTH columns."""
+def _counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The columns that a text's words are hashed to, WIDTH at most, and the root of their shares."""
     known: dict[str, int] = {}
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    for i, text in enumerate(texts):
+    out = []
+    for text in texts:
         at = []
         for w in text.lower().split():
             if w not in known:
@@ -43,8 +46,16 @@ def _bag(texts: list[str]) -> np.ndarray:
                     known.clear()
                 known[w] = zlib.crc32(w.encode()) % WIDTH
             at.append(known[w])
-        if at:
-            out[i] = np.sqrt(np.bincount(at, minlength=WIDTH) / len(at))
+        column, n = np.unique(np.array(at, np.int32), return_counts=True)
+        out.append((column, np.sqrt(n / max(1, len(at))).astype(np.float32)))
+    return out
+
+
+def _bag(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Dense rows of _counts."""
+    out = np.zeros((len(counts), WIDTH), np.float32)
+    for i, (column, share) in enumerate(counts):
+        out[i, column] = share
     return out
 
 
@@ -55,10 +66,10 @@ class SourceModel:
         self.seen = np.ones(classes, bool)
         self.weights, self.bias = np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32)
 
-    def fit(self, texts: list[str], labels: list[int], rounds: int = 40) -> SourceModel:
-        if not texts:
+    def fit(self, counts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 40) -> SourceModel:
+        if not counts:
             return self
-        x, y = _bag(texts), np.eye(len(self.bias), dtype=np.float32)[labels]
+        x, y = _bag(counts), np.eye(len(self.bias), dtype=np.float32)[labels]
         self.seen = y.any(0)
         self.bias = np.log(np.maximum(y.mean(0), 1e-9)).astype(np.float32)
         seen = np.full_like(self.weights, 1e-8)
@@ -75,7 +86,7 @@ class SourceModel:
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """The odds of each text's sources, only of those met in the fit; below a millionth they count as none."""
-        odds = self._softmax(_bag(texts)) * self.seen
+        odds = self._softmax(_bag(_counts(texts))) * self.seen
         odds[odds < 1e-6] = 0
         return odds / odds.sum(1, keepdims=True)
 
@@ -85,14 +96,21 @@ def _canonical_source() -> str:
 
 
 def fit_sources(documents: DataFrame, sources: list[str], sample: int = SAMPLE) -> SourceModel:
-    """The classifier over ``sources``, fitted on about ``sample`` of the labelled rows, drawn by a hash of doc_id."""
+    """The classifier over ``sources``, fitted on about ``sample`` of the labelled rows, drawn by a hash of doc_id. Tasks send their hashed words, not their texts."""
     labelled = documents.selectExpr("doc_id", "text", f"{_canonical_source()} as s").where(F.col("s").isin(sources) & F.col("text").isNotNull())
     total = labelled.count()
     share = min(1.0, sample / max(1, total))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).select("doc_id", "text", "s").limit(sample + sample // 2)
-    rows = sorted(drawn.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).select("doc_id", "s", "text").limit(sample + sample // 2)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, part = zip(*_counts(batch.column(2).to_pylist())) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(column, pa.list_(pa.int32())), pa.array(part, pa.list_(pa.float32()))], names=["doc_id", "s", "at", "part"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = sorted(drawn.mapInArrow(count, f"doc_id {kind}, s string, at array<int>, part array<float>").collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     at = {s: i for i, s in enumerate(sources)}
-    return SourceModel(len(sources)).fit([r.text for r in rows], [at[r.s] for r in rows])
+    return SourceModel(len(sources)).fit([(np.array(r.at, np.int32), np.array(r.part, np.float32)) for r in rows], [at[r.s] for r in rows])
 
 
 def memberships(documents: DataFrame, sources: list[str], vocabulary: str | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -120,70 +138,62 @@ def memberships(documents: DataFrame, sources: list[str], vocabulary: str | None
     return known.unionByName(unknown.selectExpr("doc_id", "cast(null as string) as source", "cast(null as int) as slice", "odds", "n_tokens"))
 
 
-def _rates(slice_: np.ndarray, odds: np.ndarray, caps: np.ndarray, least_cap: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents of one source and of those with odds, after the steps so far; a step's move of a source is its miss over its tokens."""
-    sure, soft = np.zeros(len(caps)), np.zeros(len(odds))
-    for move in moves:
-        sure = np.clip(sure - move, 0, caps)
-        soft = np.clip(soft - odds @ move, 0, least_cap) if len(odds) else soft
-    return sure[slice_] if len(slice_) else np.zeros(0), soft
-
-
-def _expected(members: DataFrame, caps: np.ndarray, moves: np.ndarray | None) -> np.ndarray:
-    """The expected tokens of each source at the rates after ``moves``, or at rate 1 with None, in one pass."""
+def moments(members: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of known documents of each source, and for documents with odds the expected tokens of each pair of sources: one pass, a bounded row set from each task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(caps))
+        known, pairs = np.zeros(width), np.zeros((width, width))
         for batch in batches:
             n = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
             sure = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            at = batch.column(0).drop_null().to_numpy()
-            odds = np.array(batch.column(1).drop_null().to_pylist(), float).reshape(-1, len(caps))
-            a, b = (np.ones(len(at)), np.ones(len(odds))) if moves is None else _rates(at, odds, caps, caps.min(), moves)
-            total += np.bincount(at, n[sure] * a, len(caps)) + (n[~sure] * b) @ odds
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(caps), dtype=np.int32)), pa.array(total)], names=["s", "v"])
-
-    out = np.zeros(len(caps))
-    for r in members.select("slice", "odds", "n_tokens").mapInArrow(add, "s int, v double").groupBy("s").agg(F.sum("v").alias("v")).collect():
-        out[r.s] = r.v
-    return out
-
-
-def feasible_total(members: DataFrame, shares: np.ndarray, caps: np.ndarray) -> float:
+            known += np.bincount(batch.column(0).drop_null().to_numpy(), n[sure], width)
+            odds = np.array(batch.column(1).drop_null().to_pylist(), float).reshape(-1, width)
+            pairs += odds.T @ (n[~sure][:, None] * odds)
+        i, j = np.nonzero(pairs)
+        at = np.flatnonzero(known)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, i]).astype(np.int32)), pa.array(np.concatenate([np.full(len(at), -1), j]).astype(np.int32)), pa.array(np.concatenate([known[at], pairs[i, j]]))], names=["i", "j", "v"])
+
+    known, pairs = np.zeros(width), np.zeros((width, width))
+    for r in members.select("slice", "odds", "n_tokens").mapInArrow(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        if r.j < 0:
+            known[r.i] = r.v
+        else:
+            pairs[r.i, r.j] = r.v
+    return known, pairs
+
+
+def feasible_total(known: np.ndarray, shares: np.ndarray, caps: np.ndarray) -> float:
     """The greatest total that every source with documents can serve within its cap. The scarcest source sets it."""
-    known = _expected(members.where("slice is not null"), caps, None)
     served = (known > 0) & (shares > 0)
     return float((caps[served] * known[served] / shares[served]).min()) if served.any() else 0.0
 
 
-def fit_rates(members: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | str | None = None) -> tuple[np.ndarray, float]:
-    """The moves whose rates bring the expected tokens of each source nearest to its share of ``total``, and the total.
+def fit_rates(known: np.ndarray, pairs: np.ndarray, shares: np.ndarray, caps: np.ndarray, total: float | str | None = None) -> tuple[np.ndarray, float, np.ndarray]:
+    """The rate of each source that brings the expected tokens of all nearest to their shares of ``total``, the total, and the expected tokens.
 
-    By default it is the tokens of all ``members``; a source whose documents can't serve its share within their cap then falls short.
+    By default the total is the tokens of all documents; a source whose documents can't serve its share within their cap then falls short. Documents without
+    source have no more than the least cap. Raises where the rates don't come to rest.
     """
-    whole = _expected(members, caps, None)
-    there = whole >= 1
+    whole = known + pairs.sum(1)
     if total is None:
         total = float(whole.sum())
     elif total == FEASIBLE:
-        total = feasible_total(members, shares, caps)
-    moves, before = np.zeros((0, len(caps))), np.zeros(len(caps))
+        total = feasible_total(known, shares, caps)
+    least = caps.min(initial=np.inf)
+    rates, scale = np.zeros(len(known)), np.where(whole > 0, whole, 1)
     for _ in range(STEPS):
-        now = _expected(members, caps, moves)
-        miss = now - total * shares
-        # sources at their caps keep a miss: the rates rest once a step changes nothing
-        if len(moves) and (np.abs(miss[there]).max(initial=0) <= CLOSE * max(total, 1.0) or np.abs(now - before).max(initial=0) <= REST * max(total, 1.0)):
-            break
-        before = now
-        step = np.where(there, miss / np.where(there, whole, 1), 0)
-        moves = np.vstack([moves, step])
-        if len(moves) > 2 and np.abs(step).max(initial=0) < 1e-9:
-            break
-    return moves, total
+        expected = known * rates + pairs @ np.minimum(rates, least)
+        moved = np.clip(rates - (expected - total * shares) / scale, 0, caps)
+        moved[whole == 0] = 0
+        change = np.abs(moved - rates).max(initial=0)
+        rates = moved
+        if change < REST:
+            return rates, total, known * rates + pairs @ np.minimum(rates, least)
+    raise RuntimeError(f"the rates still change by {change} after {STEPS} steps")
 
 
 def mixture(documents: DataFrame, mix_target: DataFrame, vocabulary: str | None = None, total: float | str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, source, slice, n_tokens, repeats) of the documents taken, repeats times each.
+    """(doc_id, source, slice, odds, n_tokens, repeats) of the documents taken, repeats times each; ``odds`` are those of the targets in order of their names, for documents without source.
 
     Sources compare in lower case without blanks at their ends. No document is repeated more than max_repeats of its source, one
     without source no more than the least of them; a target that repeats has its greatest share and least cap. Documents of other
@@ -192,23 +202,24 @@ def mixture(documents: DataFrame, mix_target: DataFrame, vocabulary: str | None
     with FEASIBLE the greatest at which no source falls short.
     """
     targets = mix_target.selectExpr(f"{_canonical_source()} as source", "target_share", "max_repeats").dropna().groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("cap"))
-    rows = sorted(lookup_rows(targets, 10_000), key=lambda r: r.source)
+    rows = sorted(lookup_rows(targets, SOURCES), key=lambda r: r.source)
     sources, shares, caps = [r.source for r in rows], np.array([r.share for r in rows], float), np.array([max(0, r.cap) for r in rows], float)
-    empty = "doc_id {}, source string, slice string, n_tokens long, repeats int".format(documents.schema["doc_id"].dataType.simpleString())
+    empty = "doc_id {}, source string, slice string, odds array<float>, n_tokens long, repeats int".format(documents.schema["doc_id"].dataType.simpleString())
     if not sources:
         return documents.sparkSession.createDataFrame([], empty)
     members = checkpointed(memberships(documents, sources, vocabulary, sample))
-    moves, _ = fit_rates(members, shares, caps, total)
+    rates, _, _ = fit_rates(*moments(members, len(caps)), shares, caps, total)
+    soft_rates = np.minimum(rates, caps.min())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sure = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             odds = np.array(batch.column(3).drop_null().to_pylist(), float).reshape(-1, len(caps))
             out = np.zeros(len(sure))
-            out[sure], out[~sure] = _rates(batch.column(2).drop_null().to_numpy(), odds, caps, caps.min(), moves)
+            out[sure], out[~sure] = rates[batch.column(2).drop_null().to_numpy()], odds @ soft_rates
             name = np.full(len(sure), "", object)
             name[sure] = np.array(sources, object)[batch.column(2).drop_null().to_numpy()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.string()), batch.column(4), pa.array(out)], names=["doc_id", "source", "slice", "n_tokens", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.string()), batch.column(3), batch.column(4), pa.array(out)], names=["doc_id", "source", "slice", "odds", "n_tokens", "rate"])
 
     rated = members.select("doc_id", "source", "slice", "odds", "n_tokens").mapInArrow(rate, empty.replace("repeats int", "rate double"))
     rated = rated.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
@@ -218,13 +229,24 @@ def mixture(documents: DataFrame, mix_target: DataFrame, vocabulary: str | None
     first = (F.col("before") + F.col("n_tokens") / 2 <= F.col("part") * F.col("total")) & (F.col("part") > 1e-9)
     drawn = F.col("h") % 1_000_000 < F.col("part") * 1_000_000
     extra = F.when(F.col("slice") == "", drawn).otherwise(first).cast("int")
-    return order.withColumn("repeats", (F.col("whole") + extra).cast("int")).where("repeats > 0").selectExpr("doc_id", "source", "nullif(slice, '') as slice", "n_tokens", "repeats")
+    return order.withColumn("repeats", (F.col("whole") + extra).cast("int")).where("repeats > 0").selectExpr("doc_id", "source", "nullif(slice, '') as slice", "odds", "n_tokens", "repeats")
 
 
 def reached(mixed: DataFrame, mix_target: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, documents, tokens, share, most_repeats) of each target, and of documents without source: null."""
+    """(source, target_share, max_repeats, documents, tokens, share, most_repeats, soft_tokens, soft_share, served) of each target, and of documents without source: null.
+
+    ``tokens`` are of documents that name the source, ``soft_tokens`` what those without source are expected to add by their odds; ``share`` and
+    ``soft_share`` are of the mixture's tokens, without and with those. ``served`` tells whether soft_share reaches the target but for CLOSE; where another source isn't served, shares above the target are in proportion.
+    """
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    whole = got.agg(F.sum("tokens").alias("t")).first().t or 0
+    whole = mixed.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).first().t or 0
     targets = mix_target.selectExpr(f"{_canonical_source()} as source", "target_share", "max_repeats")
-    joined = targets.join(got, "source", "full")
-    return joined.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.lit(max(1, whole))).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    names = sorted(r.source for r in lookup_rows(targets.dropna().select("source").distinct(), SOURCES))
+    soft = mixed.where("odds is not null").select(F.posexplode("odds").alias("i", "p"), (F.col("n_tokens") * F.col("repeats")).alias("n")).groupBy("i").agg(F.sum(F.col("p") * F.col("n")).alias("soft_tokens"))
+    listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    soft = soft.select(F.get(listed, F.col("i")).alias("source"), "soft_tokens")
+    joined = targets.join(got, "source", "full").join(soft, "source", "left")
+    tokens, expected = F.coalesce("tokens", F.lit(0)), F.coalesce("soft_tokens", F.lit(0.0))
+    share = lambda x: x / F.lit(max(1, whole))
+    served = share(tokens + expected) >= F.col("target_share") - CLOSE
+    return joined.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), tokens.alias("tokens"), share(tokens).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), expected.alias("soft_tokens"), share(tokens + expected).alias("soft_share"), served.alias("served"))

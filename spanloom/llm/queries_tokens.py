@@ -39,12 +39,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, with their repeats."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).drop("odds")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that it reaches."""
-    return reached(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+    return reached(mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")), table(spark, sf_dir, "mix_target"))
 
 
 QUERIES = {"p7_tokens": p7_tokens, "p7_totals": p7_totals, "p7_paths": p7_paths, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
