@@ -27,6 +27,8 @@ LEAST_WORDS = 10
 EDITS = "((3 * ({n})) div 20)"
 #: The lengths that segments have, for 10 words and more.
 SEGMENTS = (4, 5, 6)
+#: Sentences of a text that are made in one task.
+BLOCK = 64
 #: Training classes that share a segment, above which it is hot; and how many numbers of segments a class may choose from.
 HOT, LEVELS = 1000, 4
 
@@ -88,8 +90,10 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentence_words(annotation: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(text_id, sent_idx, words, h) of the sentences with ``least`` words or more; null tokens are skipped."""
-    tokens = current_tokens(annotation).where("token is not null")
-    lists = tokens.groupBy("text_id", "sent_idx").agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("t")).select("text_id", "sent_idx", "t.token")
+    # partitioned by blocks of sentences at once, so that sentences are made where their positions were settled
+    blocked = annotation.withColumn("__block", F.expr(f"sent_idx div {BLOCK}"))
+    tokens = current_tokens(blocked, by=("text_id", "__block")).where("token is not null")
+    lists = tokens.groupBy("text_id", "__block", "sent_idx").agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("t")).select("text_id", "sent_idx", "t.token")
     return lists.mapInArrow(_word_lists, "text_id string, sent_idx int, words array<string>").where(F.size("words") >= least).withColumn("h", F.unhex(F.md5(F.array_join("words", "\x01"))))
 
 
