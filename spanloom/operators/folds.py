@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.labels import SENTENCE
-from spanloom.operators.sequences import chunk_rule, reset_groups
+from spanloom.operators.positions import running_totals
+from spanloom.util import checkpointed, lookup_rows
 
 #: Fixed values: (fold_num, test_idx, dev_idx) of five folds.
 ROLES = ((0, 4, 0), (1, 3, 4), (2, 2, 3), (3, 1, 2), (4, 0, 1))
@@ -18,22 +19,47 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
-def greedy_folds(texts: DataFrame, k: int, seed: int, count: str = "n") -> DataFrame:
-    """(text_id, fold_id): texts in seeded order, a fold closing once its ``count`` reaches total / k, then from 0 again.
+def _struct(row: Row) -> Column:
+    return F.struct(F.lit(row.through).cast("long"), F.lit(row.h), F.lit(row.text_id))
 
-    The resets make this one walk over all texts, streamed as one small row each; texts after the k-th closing stay in the last fold.
-    """
-    total = texts.agg(F.sum(count).alias("t")).first().t or 0
-    rows = texts.select("text_id", seeded(seed, "text_id").alias("h"), F.col(count).cast("long").alias("n"))
-    return reset_groups(rows, [], ["h", "text_id"], "n", chunk_rule(total / k, inclusive=True, most=k), "fold_id").select("text_id", "fold_id")
 
+def greedy_folds(texts: DataFrame, k: int, seed: int, count: str = "n", digits: int = 3) -> DataFrame:
+    """(text_id, fold_id): texts in seeded order, a fold closing once its ``count`` reaches total / k, then from 0 again.
 
-def running_folds(sentences: DataFrame, k: int, count: str = "n", order: tuple[str, ...] = ("sent_idx",), by: str = "text_id") -> DataFrame:
-    """``sentences`` with fold_id: the sentences of a text by the running sum of ``count`` over round(total / k), the last fold taking the rest."""
-    over = W.partitionBy(by)
-    size = F.bround(F.sum(count).over(over) / F.lit(k), 0)
-    through = F.sum(count).over(over.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return sentences.withColumn("fold_id", F.when(size == 0, 0).otherwise(F.least(F.floor(F.try_divide(through, size)), F.lit(k - 1))).cast("int"))
+    Running sums are made within 16 ** ``digits`` shares of the order and over those, so no task walks over all texts; the k - 1 closings are looked up one after
+    another, each the first sum that is far enough beyond the one before. Texts after the k-th closing stay in the last fold.
+    """
+    rows = texts.select("text_id", seeded(seed, "text_id").alias("h"), F.coalesce(F.col(count), F.lit(0)).cast("long").alias("n"))
+    rows = rows.withColumn("b", F.substr("h", F.lit(1), F.lit(digits)))
+    sums = rows.groupBy("b").agg(F.sum("n").alias("s"))
+    sums = sums.select("b", (F.sum("s").over(W.orderBy("b")) - F.col("s")).alias("earlier"))
+    within = F.sum("n").over(W.partitionBy("b").orderBy("h", "text_id"))
+    through = checkpointed(rows.withColumn("w", within).join(sums, "b").select("text_id", "h", "n", (F.col("earlier") + F.col("w")).alias("through")))
+    share = (through.agg(F.max("through").alias("t")).first().t or 0) / k
+    closings, base, after = [], 0, F.lit(True)
+    for _ in range(k - 1):
+        # the first text that reaches the share, after the text that closed the fold before: sums alone don't tell texts of size 0 apart
+        closing = through.where(after & (F.col("through") - F.lit(base) >= F.lit(share))).agg(F.min(F.struct("through", "h", "text_id")).alias("c")).first().c
+        if closing is None:
+            break
+        closings.append(closing)
+        base = closing.through
+        after = F.struct("through", "h", "text_id") > _struct(closing)
+    fold = F.lit(0)
+    for c in closings:
+        fold = fold + (F.struct("through", "h", "text_id") > _struct(c)).cast("int")
+    return through.select("text_id", fold.alias("fold_id"))
+
+
+def running_folds(sentences: DataFrame, k: int, count: str = "n", order: str = "sent_idx", by: str = "text_id") -> DataFrame:
+    """``sentences`` with fold_id: the sentences of a text by the running sum of ``count`` over round(total / k), the last fold taking the rest.
+
+    ``order`` is a whole number, unique per text. Sums run in two levels, so no text is in one task.
+    """
+    sums = running_totals(sentences, by, order, count)
+    size = F.bround(F.col("total") / F.lit(k), 0)
+    fold = F.when(size == 0, 0).otherwise(F.least(F.floor(F.try_divide(F.col("before") + F.col(count), size)), F.lit(k - 1))).cast("int")
+    return sums.withColumn("fold_id", fold).select(*sentences.columns, "fold_id")
 
 
 def fold_roles(folds: DataFrame) -> DataFrame:
@@ -66,3 +92,35 @@ def masked_tokens(tokens: DataFrame, share: float, seed: int, *key: str) -> Data
     """``tokens`` with masked: true for a seeded ``share`` of the keys."""
     draw = F.conv(F.substr(seeded(seed, *key), F.lit(1), F.lit(8)), 16, 10).cast("long")
     return tokens.withColumn("masked", draw < F.lit(int(share * 2**32)))
+
+
+def batch_draws(batches: DataFrame, by: str, batch: str, alpha: float, seed: int) -> DataFrame:
+    """(draw, by, batch): as many draws as there are batches, each of a group with the chance of its smoothed size, and of that group the next of its batches, from the first again after the last.
+
+    ``batches`` has one row per batch, ``batch`` counting from 0 within ``by``; the groups are few. The whole part of size · smoothed / share is a group's weight.
+    The n-th draw of a group is counted in two levels, so no group is in one task.
+    """
+    sizes = smoothed_shares(batches.groupBy(by).agg(F.count(F.lit(1)).alias("n")), alpha)
+    weights = sizes.select(by, "n", F.floor(F.col("n") * F.col("smoothed") / F.col("share") + F.lit(1e-9)).cast("long").alias("w"))
+    rows, at, upper = sorted(lookup_rows(weights), key=lambda r: (r[by] is not None, r[by])), 0, []
+    for r in rows:
+        at += r.w
+        upper.append((r[by], at, r.n))
+    total, spark = sum(r.n for r in rows), batches.sparkSession
+    place = F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.lit(max(1, at))
+    group = F.lit(None).cast(batches.schema[by].dataType)
+    size = F.lit(0).cast("long")
+    for name, end, n in reversed(upper):
+        group, size = F.when(F.col("place") < end, name).otherwise(group), F.when(F.col("place") < end, n).otherwise(size)
+    draws = spark.range(total).withColumnRenamed("id", "draw").withColumn("place", place).withColumn(by, group).withColumn("size", size).withColumn("one", F.lit(1))
+    turns = running_totals(draws, by, "draw", "one")
+    return turns.select("draw", by, (F.col("before") % F.col("size")).cast("long").alias(batch))
+
+
+def masked_ids(tokens: DataFrame, token_id: str, share: float, seed: int, mask: int, size: int, *key: str) -> DataFrame:
+    """``tokens`` with input_id and label_id: for a seeded ``share`` of the keys the label is the id, and the input is ``mask`` for 80 % of them, a random id below ``size`` for 10 %, the id itself for the rest; for others the label is -100."""
+    part = lambda n: F.conv(F.substr(seeded(seed, *key), F.lit(n), F.lit(8)), 16, 10).cast("long")
+    chosen = part(1) < F.lit(int(share * 2**32))
+    turn = part(9) % 10
+    given = F.when(~chosen, F.col(token_id)).when(turn < 8, F.lit(mask)).when(turn == 8, (part(17) % size).cast("int")).otherwise(F.col(token_id))
+    return tokens.withColumn("input_id", given.cast("int")).withColumn("label_id", F.when(chosen, F.col(token_id)).otherwise(-100).cast("int"))

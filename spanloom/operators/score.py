@@ -181,3 +181,15 @@ def metric(df: DataFrame, name: str, *by: str, **columns: str) -> DataFrame:
 def metric_sum(table: DataFrame, *by: str) -> DataFrame:
     """``sum`` of the optimisation metrics of a long table (metric, value); those of which less is better as their reciprocal."""
     return table.groupBy(*by).agg(F.sum(F.when(F.col("metric").isin(*LESS_IS_BETTER), F.try_divide(F.lit(1.0), F.col("value"))).otherwise(F.col("value"))).alias("sum"))
+
+
+def best_epochs(scores: DataFrame, by: list[str], epoch: str, value: str, n: int = 1) -> DataFrame:
+    """The ``n`` epochs of each run with the greatest ``value``, the earlier of equals first, with their rank from 1."""
+    over = W.partitionBy(*by).orderBy(F.desc_nulls_last(value), epoch)
+    return scores.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= n)
+
+
+def first_epoch_outlier(scores: DataFrame, by: list[str], epoch: str, value: str, after: int = 4) -> DataFrame:
+    """(by, outlier): whether the first epoch of a run lies further from the mean of all than their sample deviation; never for runs of ``after`` epochs or fewer."""
+    far = F.abs(F.avg(value) - F.min_by(value, epoch)) > F.stddev_samp(value)
+    return scores.groupBy(*by).agg(((F.max(epoch) > after) & F.coalesce(far, F.lit(False))).alias("outlier"))

@@ -103,14 +103,16 @@ def fixed_blocks(tokens: DataFrame, length: int = 128) -> DataFrame:
 
 
 def within_limits(sentences: DataFrame, max_sents: int | None = None, max_words: int | None = None, size: str = "n", by: str = "text_id", order: str = "sent_idx") -> DataFrame:
-    """The first ``max_sents`` sentences of each ``by``, and of them those that end within ``max_words`` words."""
-    over = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = sentences.withColumn("__s", F.count(F.lit(1)).over(over)).withColumn("__w", F.sum(size).over(over))
+    """The first ``max_sents`` sentences of each ``by``, and of them those that end within ``max_words`` words.
+
+    ``order`` is a whole number, unique per ``by``. Sums run in two levels, so no text is in one task.
+    """
+    out = sentences
     if max_sents is not None:
-        out = out.where(F.col("__s") <= max_sents)
+        out = running_totals(out.withColumn("__one", F.lit(1)), by, order, "__one").where(F.col("before") < max_sents).select(*sentences.columns)
     if max_words is not None:
-        out = out.where(F.col("__w") <= max_words)
-    return out.drop("__s", "__w")
+        out = running_totals(out, by, order, size).where(F.col("before") + F.col(size) <= max_words).select(*sentences.columns)
+    return out
 
 
 def incomplete_sentences(tokens: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import folds, loading, scores, spans, words
+from spanloom.plans import folds, loading, scores, spans, subwords, words
 
-MODULES = (loading, spans, scores, folds, words)
+MODULES = (loading, spans, scores, folds, words, subwords)
 
 
 def queries() -> dict:
