@@ -63,6 +63,7 @@ def inclusive_spans(df: DataFrame, label: str, ignored: tuple[str, ...] = ()) ->
 def span_key(prefix: str = "") -> Column:
     """The printed key of a span."""
     c = lambda n: F.col(prefix + n)
+    # fixed value: how a span is printed
     return F.format_string('%s %d: Span[%d:%d]: "%s"', c("text_id"), c("sent_idx"), c("start"), c("end"), c("text"))
 
 

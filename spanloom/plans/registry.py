@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import folds, loading, scores, spans, subwords, words
+from spanloom.plans import files, folds, loading, scores, spans, subwords, words
 
-MODULES = (loading, spans, scores, folds, words, subwords)
+MODULES = (loading, spans, scores, folds, words, subwords, files)
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.labels import parse_labels
 
+#: Fixed value: what a token line looks like.
 LINE = r"(?U)^\d+-\d+\t\d+-\d+\t\S+\t\S+\t"
 
 
@@ -21,13 +22,13 @@ def text_id_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folder, r"(?<=.)\.[^.]*$", ""), r"(?U)\W", "_")
 
 
-def read_web_anno(spark: SparkSession, path: str, tags: list[str] | None = None, mode: str = "corrected") -> DataFrame:
-    """(text_id, file, sent_idx, token_idx, char_start, char_end, token, labels) of all *.tsv below ``path``.
+def read_web_anno(spark: SparkSession, path: str, tags: list[str] | None = None, mode: str = "corrected", files: str = "*.tsv") -> DataFrame:
+    """(text_id, file, sent_idx, token_idx, char_start, char_end, token, labels) of all ``files`` below ``path``.
 
     Lines that aren't token lines are skipped: see raw_lines for their reasons. A folder is a text; with several files in it all count, or
     in "faithful" mode the last by name only. ``labels`` are parsed, those of ``tags`` only if given.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tsv").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     rows = lines.where(F.col("value").rlike(LINE)).withColumn("p", F.split("value", "\t")).withColumn("text_id", text_id_of(F.col("file")))
     if mode == "faithful":
         rows = rows.withColumn("__last", F.max("file").over(W.partitionBy("text_id"))).where("file = __last")

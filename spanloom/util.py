@@ -25,12 +25,12 @@ def lookup_rows(df: DataFrame, limit: int = LOOKUP_ROWS) -> list[Row]:
     return rows
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the session's spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's spark.checkpoint.dir, which all executors share.
 
     Where that is unset, as in local tests, a temporary folder is used; a cluster must name a shared one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", "")
         if not folder:
@@ -38,6 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + os.path.join(tempfile.gettempdir(), "spanloom-checkpoints")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in shared_folder.
+
+    Spark removes it once ``df`` is collected where spark.cleaner.referenceTracking.cleanCheckpoints is set; else it stays with the folder.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
