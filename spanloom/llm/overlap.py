@@ -165,16 +165,15 @@ def split_overlap(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def class_members(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(text_id, sent_idx, split, class_id, links): each sentence of class_overlap once, with its class and the number of sentences of the other side that it overlaps with."""
-    side = F.when(F.col("split") == "train", "train").otherwise("eval")
-    sizes = checkpointed(sentences.groupBy("h", side.alias("side")).agg(F.count(F.lit(1)).alias("n")))
-    count = lambda which: sizes.where(F.col("side") == which).select(F.col("h").alias(f"h_{which}"), "n")
+    """(text_id, sent_idx, split, class_id, links): each sentence of class_overlap once, with its class, named by the least text_id/sent_idx in it, and the number of sentences of the other side that it overlaps with."""
+    train = F.col("split") == "train"
+    sizes = checkpointed(sentences.groupBy("h").agg(F.min(F.struct("text_id", "sent_idx")).alias("first"), F.count_if(train).alias("trains"), F.count_if(~train).alias("evals")))
     pairs = checkpointed(pairs)
-    to_eval = pairs.join(count("eval"), "h_eval").groupBy(F.col("h_train").alias("h")).agg(F.sum("n").alias("links")).withColumn("side", F.lit("train"))
-    to_train = pairs.join(count("train"), "h_train").groupBy(F.col("h_eval").alias("h")).agg(F.sum("n").alias("links")).withColumn("side", F.lit("eval"))
-    sided = sentences.withColumn("side", side)
-    named = salted_join(sided, to_eval.unionByName(to_train), ["h", "side"], heavy_keys(sided, "h", "side"), "left")
-    return named.select("text_id", "sent_idx", "split", F.lower(F.hex("h")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    to_eval = pairs.join(sizes.select(F.col("h").alias("h_eval"), "evals"), "h_eval").groupBy(F.col("h_train").alias("h")).agg(F.sum("evals").alias("from_train"))
+    to_train = pairs.join(sizes.select(F.col("h").alias("h_train"), "trains"), "h_train").groupBy(F.col("h_eval").alias("h")).agg(F.sum("trains").alias("from_eval"))
+    named = sizes.select("h", F.concat_ws("/", "first.text_id", "first.sent_idx").alias("class_id")).join(to_eval, "h", "left").join(to_train, "h", "left")
+    links = F.coalesce(F.when(train, F.col("from_train")).otherwise(F.col("from_eval")), F.lit(0))
+    return salted_join(sentences, named, ["h"], heavy_keys(sentences, "h")).select("text_id", "sent_idx", "split", "class_id", links.alias("links"))
 
 
 def pair_columns(overlap: DataFrame) -> DataFrame:

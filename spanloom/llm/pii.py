@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.boosting import BoostedTrees
-from spanloom.util import lookup_rows
+from spanloom.util import lookup_rows, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -559,7 +559,7 @@ def find_personal(documents: DataFrame, name_lexicon: DataFrame, key: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(start, pa.int32()), pa.array(kind, pa.string()), pa.array(piece, pa.string())], names=["__key", "start", "kind", "found"])
 
     type_ = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"__key {type_}, start int, kind string, found string").withColumnRenamed("__key", key)
+    return spread(documents.select(F.col(key), F.col(text))).mapInArrow(run, f"__key {type_}, start int, kind string, found string").withColumnRenamed("__key", key)
 
 
 def redact(documents: DataFrame, name_lexicon: DataFrame, key: str = "doc_id", text: str = "text", size: int = EXAMPLES) -> DataFrame:
@@ -580,4 +580,4 @@ def redact(documents: DataFrame, name_lexicon: DataFrame, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["__key", "text", "replaced"])
 
     type_ = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"__key {type_}, text string, replaced int").withColumnRenamed("__key", key)
+    return spread(documents.select(F.col(key), F.col(text))).mapInArrow(run, f"__key {type_}, text string, replaced int").withColumnRenamed("__key", key)
