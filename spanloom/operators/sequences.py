@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from spanloom.operators.chains import exits, section_entries
 from spanloom.operators.positions import running_totals
+from spanloom.util import checkpointed
 
 
 def reset_groups(df: DataFrame, by: list[str], order: list[str], size: str, rule: Callable[[], Callable[[int], int]], out: str = "group_id") -> DataFrame:
@@ -84,6 +88,84 @@ def batch_rule(rows: int, words: int, mode: str = "corrected") -> Callable[[], C
     return rule
 
 
+def placed_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``__key``, a text of the columns ``by``, and ``__pos``, the row's place from 0 within it in ``order``; checkpointed.
+
+    Rows are sorted over ranges, so a key of any size is many tasks'. Places are counted within tasks, and over tasks by their counts, one row per task and key.
+    ``order`` should be unique within ``by``; equal rows get any of their places.
+    """
+    keyed = df.withColumn("__key", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit(""))
+    rows = keyed.repartitionByRange("__key", *order).sortWithinPartitions("__key", *order).withColumn("__task", F.spark_partition_id())
+    at = rows.columns.index("__key")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, met = None, 0
+        for batch in batches:
+            runs = pa.compute.run_end_encode(batch.column(at))
+            places, begin = [], 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                met = met if key == open_key else 0
+                places.append(np.arange(met, met + end - begin))
+                open_key, met, begin = key, met + end - begin, end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(places) if places else [], pa.int64())], names=[*batch.schema.names, "__i"])
+
+    counted = checkpointed(rows.mapInArrow(count, StructType([*rows.schema.fields, StructField("__i", LongType())])))
+    tasks = counted.groupBy("__key", "__task").agg(F.count(F.lit(1)).alias("__n"))
+    tasks = tasks.select("__key", "__task", (F.sum("__n").over(W.partitionBy("__key").orderBy("__task")) - F.col("__n")).alias("__base"))
+    return counted.join(tasks, ["__key", "__task"]).withColumn("__pos", F.col("__base") + F.col("__i")).drop("__task", "__i", "__base")
+
+
+def _next_batches(sizes: np.ndarray, rows: int, words: int, faithful: bool, first: bool) -> np.ndarray:
+    """Where the next batch begins after one that begins at each place."""
+    n, at = len(sizes), np.arange(len(sizes))
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    counted_from = np.minimum(at + 1, n) if faithful else at
+    if first and n:
+        counted_from[0] = 0
+    full = np.searchsorted(sums, sums[counted_from] + words, side="right") - 1
+    return np.minimum(np.maximum(full, at + 1), np.minimum(at + rows, n))
+
+
+def packed_batches(df: DataFrame, by: list[str], order: list[str], size: str, rows: int, words: int, mode: str = "corrected", out: str = "batch_id", section: int = 4096) -> DataFrame:
+    """``df`` with ``out``, the batch of each row in a walk over the rows of each ``by`` in ``order``, from 0, as batch_rule says.
+
+    A batch begins where the one before it is full, so the batches of a key are a chain: sections of it are asked where each possible begin leaves them, and walked once their
+    true begin is known (see chains). No key is one task's, and ``section`` changes no batch. Null sizes count 0.
+    """
+    section, faithful = max(section, rows), mode == "faithful"
+    placed = placed_rows(df, by, order)
+    few = placed.select("__key", "__pos", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
+    k = F.expr(f"__pos div {section}")
+    also = F.when((F.col("__pos") % section < rows) & (F.col("__pos") >= section), F.array(k - 1, k)).otherwise(F.array(k))
+    parts = few.withColumn("k", F.explode(also)).groupBy("__key", "k").agg(F.sort_array(F.collect_list(F.struct("__pos", "n"))).alias("x"))
+    parts = checkpointed(parts.select("__key", "k", F.col("x.n").alias("sizes")))
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [exits(_next_batches(np.array(x), rows, words, faithful, i == 0), section, rows) for i, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["__key", "k", "exits"])
+
+    most = (parts.agg(F.max("k")).first()[0] or 0) + 1
+    entries = section_entries(parts.mapInArrow(ways, "__key string, k long, exits array<int>"), ["__key"], most)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            locals_ = []
+            for i, x, at in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                following, begins, end = _next_batches(np.array(x), rows, words, faithful, i == 0), np.zeros(min(section, len(x)), np.int64), min(section, len(x))
+                while at < end:
+                    begins[at] = 1
+                    at = int(following[at])
+                locals_.append(np.cumsum(begins))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(locals_, pa.list_(pa.int64()))], names=["__key", "k", "l"])
+
+    begun = checkpointed(parts.join(entries, ["__key", "k"]).select("__key", "k", "sizes", "entry").mapInArrow(walk, "__key string, k long, l array<bigint>"))
+    counts = running_totals(begun.select("__key", "k", F.element_at("l", -1).alias("c")), "__key", "k", "c").select("__key", "k", "before")
+    batches = begun.join(counts, ["__key", "k"]).select("__key", "k", "before", F.posexplode("l").alias("i", "l"))
+    batches = batches.select("__key", (F.col("k") * section + F.col("i")).alias("__pos"), (F.col("before") + F.col("l") - 1).cast("int").alias(out))
+    return placed.join(batches, ["__key", "__pos"]).select(*df.columns, out)
+
+
 def without_edges(sentences: DataFrame, first: int, last: int, size: str = "n", by: str = "text_id", order: str = "sent_idx") -> DataFrame:
     """``sentences`` of (by, order, size) but those that begin within the first ``first`` tokens of their text or with fewer than ``last`` left."""
     return running_totals(sentences, by, order, size).where((F.col("before") >= first) & (F.col("total") - F.col("before") >= last)).drop("before", "total")

@@ -70,7 +70,7 @@ def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batches(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     sizes = text_tokens(spark, sf_dir).groupBy("lang", "text_id", "sent_idx").agg(F.count(F.lit(1)).alias("n"))
-    return sequences.reset_groups(sizes, ["lang"], ["n", "text_id", "sent_idx"], "n", sequences.batch_rule(32, 256, mode), "batch_id")
+    return sequences.packed_batches(sizes, ["lang"], ["n", "text_id", "sent_idx"], "n", 32, 256, mode)
 
 
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

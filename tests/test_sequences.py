@@ -99,3 +99,17 @@ def test_current_tokens(spark):
     df = spark.createDataFrame(rows, "anno_id long, text_id string, sent_idx int, token_idx int, token string, edited_at timestamp")
     assert sorted((r.token_idx, r.token) for r in current_tokens(df).collect()) == [(1, "b"), (2, None)]
     assert current_tokens(df.limit(0), by=("text_id",)).count() == 0
+
+
+def test_packed_batches_like_a_walk(spark):
+    draw = random.Random(21)
+    rows = [(key, i, draw.choice([0, 1, 2, 3, 9, 40, None]), "x") for key, n in (("a", 700), ("b", 30), (None, 100), ("c", 1)) for i in range(n)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o int, n int, k string")
+    for mode in ("corrected", "faithful"):
+        for limit, words in ((4, 20), (1, 5), (16, 1000)):
+            walked = {(r.g, r.o): r.batch_id for r in sequences.reset_groups(df, ["g"], ["o"], "n", sequences.batch_rule(limit, words, mode), "batch_id").collect()}
+            for section in (1, 50, 4096):
+                got = {(r.g, r.o): r.batch_id for r in sequences.packed_batches(df, ["g"], ["o"], "n", limit, words, mode, section=section).collect()}
+                assert got == walked, (mode, limit, words, section)
+    assert sequences.packed_batches(df.limit(0), ["g"], ["o"], "n", 4, 20).count() == 0
