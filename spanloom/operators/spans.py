@@ -11,27 +11,27 @@ from spanloom.operators.labels import SENTENCE, plain_type
 KEY = [*SENTENCE, "start", "end", "label"]
 
 
-def _island_spans(df: DataFrame, begin: Column, inside: Column, kind: Column, end: Column) -> DataFrame:
-    over = W.partitionBy(*SENTENCE).orderBy("token_idx")
-    marked = df.select(*SENTENCE, "token_idx", "token", kind.alias("label"), begin.alias("__begin"), inside.alias("__inside")).withColumn("__island", F.sum(F.col("__begin").cast("int")).over(over))
-    rows = marked.where("__inside").groupBy(*SENTENCE, "__island").agg(F.min("token_idx").alias("start"), end.alias("end"), F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("t"), F.first("label").alias("label"))
-    return rows.select(*SENTENCE, "start", "end", F.expr("array_join(transform(t, x -> x.token), ' ')").alias("text"), "label")
+def _island_spans(df: DataFrame, begin: Column, inside: Column, kind: Column, end: Column, key: tuple[str, ...] = SENTENCE) -> DataFrame:
+    over = W.partitionBy(*key).orderBy("token_idx")
+    marked = df.select(*key, "token_idx", "token", kind.alias("label"), begin.alias("__begin"), inside.alias("__inside")).withColumn("__island", F.sum(F.col("__begin").cast("int")).over(over))
+    rows = marked.where("__inside").groupBy(*key, "__island").agg(F.min("token_idx").alias("start"), end.alias("end"), F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("t"), F.first("label").alias("label"))
+    return rows.select(*key, "start", "end", F.expr("array_join(transform(t, x -> x.token), ' ')").alias("text"), "label")
 
 
-def token_spans(df: DataFrame, label: str, mode: str = "corrected") -> DataFrame:
+def token_spans(df: DataFrame, label: str, mode: str = "corrected", key: tuple[str, ...] = SENTENCE) -> DataFrame:
     """(text_id, sent_idx, start, end, text, label) of the BIO labels in ``label``; end is one past the last token.
 
     B opens a span, as does I after O, at the start of a sentence, or after another type; O closes. "faithful" leaves out spans that end
     with their sentence, but for the last sentence of all, as a reader does that forgets its buffer at each new sentence. Null labels
-    are O. Sentences spread over tasks; one sentence is in one.
+    are O. Sentences spread over tasks; one sentence is in one. ``key`` is that of a sentence, with columns that tell several readings of it apart.
     """
-    over = W.partitionBy(*SENTENCE).orderBy("token_idx")
+    over = W.partitionBy(*key).orderBy("token_idx")
     lab = F.coalesce(F.col(label), F.lit("O"))
     kind = plain_type(lab)
     inside = lab != "O"
     before = F.lag(lab).over(over)
     begin = inside & (lab.startswith("B-") | before.isNull() | (before == "O") | (plain_type(before) != kind))
-    spans = _island_spans(df, begin, inside, kind, F.max("token_idx") + 1)
+    spans = _island_spans(df, begin, inside, kind, F.max("token_idx") + 1, key)
     if mode == "faithful":
         ends = df.groupBy(*SENTENCE).agg((F.max("token_idx") + 1).alias("__last"))
         final = df.agg(F.max(F.struct(*SENTENCE)).alias("s")).first().s
@@ -39,6 +39,13 @@ def token_spans(df: DataFrame, label: str, mode: str = "corrected") -> DataFrame
     return spans
 
 
+def spans_of_sides(df: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """token_spans of several label columns in one pass: with ``side``, the name that ``sides`` gives the column."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("side"), F.col(column).alias("l")) for name, column in sides.items())))
+    rows = df.select(*SENTENCE, "token_idx", "token", pairs.alias("p")).select(*SENTENCE, "token_idx", "token", "p.side", "p.l")
+    return token_spans(rows, "l", key=(*SENTENCE, "side"))
+
+
 def begin_spans(df: DataFrame, label: str, mode: str = "corrected") -> DataFrame:
     """(text_id, sent_idx, start, end, label) as the span score reads labels: each B with the I after it, whatever their type.
 

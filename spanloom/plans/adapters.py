@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.labels import iob2
 from spanloom.operators.positions import current_tokens
-from spanloom.operators.spans import token_spans
-from spanloom.util import table
+from spanloom.operators.spans import spans_of_sides, token_spans
+from spanloom.util import checkpointed, table
 
 #: All columns of lineitem: rows are unique on them, so this is a total order.
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -51,12 +51,18 @@ def spans_of(spark: SparkSession, sf_dir: str, side: str = "gold", mode: str = "
     return token_spans(labelled(spark, sf_dir), f"{side}_bio", mode)
 
 
+def side_spans(spark: SparkSession, sf_dir: str, *sides: str) -> list[DataFrame]:
+    """The spans of several sides, made in one pass over the labelled sequences and written once, as scores read them several times."""
+    spans = checkpointed(spans_of_sides(labelled(spark, sf_dir), {s: f"{s}_bio" for s in sides}))
+    return [spans.where(F.col("side") == s).drop("side") for s in sides]
+
+
 def keyed_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Gold spans for both models and predicted spans, with lang, fold and model."""
     keys = lambda df: df.withColumn("lang", F.element_at(F.array(F.lit("de"), F.lit("en"), F.lit("fr")), (F.col("text_id").cast("long") % 3 + 1).cast("int"))).withColumn("fold", (F.col("text_id").cast("long") % 5).cast("int"))
-    gold = keys(spans_of(spark, sf_dir)).withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    pred = keys(spans_of(spark, sf_dir, "a")).withColumn("model", F.lit("a")).unionByName(keys(spans_of(spark, sf_dir, "b")).withColumn("model", F.lit("b")))
-    return gold, pred
+    gold, a, b = (keys(df) for df in side_spans(spark, sf_dir, "gold", "a", "b"))
+    pred = a.withColumn("model", F.lit("a")).unionByName(b.withColumn("model", F.lit("b")))
+    return gold.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b")))), pred
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import score
 from spanloom.operators.match import overlap_join
 from spanloom.operators.spans import begin_spans
-from spanloom.plans.adapters import SEQUENCES, keyed_spans, labelled, spans_of, spans_sql, with_
+from spanloom.plans.adapters import SEQUENCES, keyed_spans, labelled, side_spans, spans_of, spans_sql, with_
 from spanloom.plans.spans import BOTH, PAIRS
 
 RUN = ("lang", "fold", "model")
@@ -23,7 +23,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _frame(spark: SparkSession, sf_dir: str, count: str = "pairs") -> DataFrame:
-    gold, pred = spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a")
+    gold, pred = side_spans(spark, sf_dir, "gold", "a")
     return score.match_frame(overlap_join(gold, pred), gold, pred, count=count)
 
 
@@ -63,7 +63,7 @@ def metric_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(score.legacy_score(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a")))
+    return rounded(score.legacy_score(*side_spans(spark, sf_dir, "gold", "a")))
 
 
 def error_typology(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import match, spans
 from spanloom.operators.labels import parse_labels, tag_inventory, vocabulary
-from spanloom.plans.adapters import SEQUENCES, labelled, sequences, spans_of, spans_sql, with_
+from spanloom.plans.adapters import SEQUENCES, labelled, side_spans, sequences, spans_of, spans_sql, with_
 from spanloom.util import table
 
 SPAN = '"start", "end", text, label'
@@ -55,7 +55,7 @@ ABSENT = [f"{side}_{c}" for side in ("test", "pred") for c in ("sent_idx", "star
 
 
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.overlap_join(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"))
+    return match.overlap_join(*side_spans(spark, sf_dir, "gold", "a"))
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,23 +63,23 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_pairs_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.overlap_join(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"), "faithful").na.fill(-1, ABSENT)
+    return match.overlap_join(*side_spans(spark, sf_dir, "gold", "a"), "faithful").na.fill(-1, ABSENT)
 
 
 def matching_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matching(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"))[0]
+    return match.matching(*side_spans(spark, sf_dir, "gold", "a"))[0]
 
 
 def gold_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matching(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"))[1]
+    return match.matching(*side_spans(spark, sf_dir, "gold", "a"))[1]
 
 
 def pred_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matching(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"))[2]
+    return match.matching(*side_spans(spark, sf_dir, "gold", "a"))[2]
 
 
 def partial_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, gold, pred = match.matching(spans_of(spark, sf_dir), spans_of(spark, sf_dir, "a"))
+    _, gold, pred = match.matching(*side_spans(spark, sf_dir, "gold", "a"))
     shown = F.array_join(F.transform("gold", lambda g: F.concat(g["test_start"].cast("string"), F.lit(":"), g["test_end"].cast("string"), F.lit(":"), g["test_label"])), " ")
     return match.partial_lists(pred, gold).select(*(f"pred_{c}" for c in match.FIELDS), shown.alias("gold"))
 
