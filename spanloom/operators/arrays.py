@@ -115,6 +115,12 @@ def parts_of(values: Column, most: int, specials: int = 2) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * room + 1, F.lit(room)))
 
 
+def joined_parts(df: DataFrame, key: list[str], part: str, values: str) -> DataFrame:
+    """(key, values): parts_of put together again in the order of ``part``."""
+    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(part, values))).alias("__x"))
+    return rows.select(*key, F.flatten(F.transform("__x", lambda x: x[values])).alias(values))
+
+
 def script_ranges(df: DataFrame, text: str, ranges: DataFrame, key: str) -> DataFrame:
     """(key, script, n): letters of each script in ``text``; ``ranges`` is a fixed table (start, end, script) of code points.
 

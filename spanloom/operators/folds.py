@@ -70,14 +70,21 @@ def fold_roles(folds: DataFrame) -> DataFrame:
     return rows.select(*folds.columns, F.col("r.fold_num").alias("fold_num"), split.alias("split"))
 
 
-def downsample(sentences: DataFrame, fraction: float, seed: int, *by: str) -> DataFrame:
-    """floor(fraction · n) of the n sentences of each ``by``, by seeded order; a smaller fraction's are among a greater one's.
+def downsample(sentences: DataFrame, fraction: float, seed: int, *by: str, digits: int = 3) -> DataFrame:
+    """floor(fraction · n) of the n sentences of each ``by``, or of all, by seeded order; a smaller fraction's are among a greater one's.
 
-    The bound is exact and per group: rank and size come from one window.
+    The bound is exact and per group. Ranks are counted within 16 ** ``digits`` shares of the order and over those, so no group is in one task. Null groups are groups.
     """
+    rows = sentences.withColumn("__h", seeded(seed, *SENTENCE)).withColumn("__b", F.substr("__h", F.lit(1), F.lit(digits)))
     over = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    ranked = sentences.withColumn("__rank", F.row_number().over(over.orderBy(seeded(seed, *SENTENCE), *SENTENCE))).withColumn("__n", F.count(F.lit(1)).over(over))
-    return ranked.where(F.col("__rank") <= F.floor(F.lit(fraction) * F.col("__n"))).drop("__n").withColumnRenamed("__rank", "sample_rank")
+    counts = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__b").alias("__share"), (F.sum("c").over(over.orderBy("__b")) - F.col("c")).alias("__earlier"), F.sum("c").over(over).alias("__n"))
+    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(*by, "__b").orderBy("__h", *SENTENCE)))
+    on = F.col("__b") == F.col("__share")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    placed = ranked.join(counts, on).withColumn("sample_rank", (F.col("__rank") + F.col("__earlier")).cast("int"))
+    return placed.where(F.col("sample_rank") <= F.floor(F.lit(fraction) * F.col("__n"))).select(*sentences.columns, "sample_rank")
 
 
 def smoothed_shares(sizes: DataFrame, alpha: float, size: str = "n") -> DataFrame:

@@ -36,6 +36,12 @@ def first_label(labels: Column, tags: list[str]) -> Column:
     return F.coalesce(F.get(parse_labels(labels, tags), F.lit(0))["tag"], F.lit("O"))
 
 
+def barred(parsed: Column) -> Column:
+    """A parsed array as a plain label field again: tags with their numbers, joined by ``|``; ``_`` for none."""
+    shown = F.transform(parsed, lambda x: F.concat(x["tag"], F.when(x["disambiguation_id"].isNull(), "").otherwise(F.concat(F.lit("["), x["disambiguation_id"].cast("string"), F.lit("]")))))
+    return F.when(F.size(parsed) > 0, F.array_join(shown, "|")).otherwise("_")
+
+
 def has_tag(parsed: Column, tag: str) -> Column:
     """Whether a parsed array has ``tag``."""
     return F.exists(parsed, lambda x: x["tag"] == tag)

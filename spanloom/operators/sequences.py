@@ -202,13 +202,13 @@ def incomplete_sentences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("text_id", "sent_idx").agg(F.count(F.lit(1)).alias("tokens"), F.max("token_idx").alias("last_idx")).where("tokens <> last_idx")
 
 
-def chunk_terms(tokens: DataFrame, limit: int, skipped: str = r"^[^\p{L}\p{N}]*$") -> DataFrame:
-    """(text_id, chunk_id, term, n): frequencies of the lower-case tokens of each chunk, marks and blanks left out.
+def chunk_terms(tokens: DataFrame, limit: int, skipped: str = r"^[^\p{L}\p{N}]*$", also: tuple[str, ...] = ()) -> DataFrame:
+    """(text_id, chunk_id, term, *also, n): frequencies of the lower-case tokens of each chunk, marks and blanks left out; ``also`` names columns such as lemma and part of speech that terms are told apart by.
 
     Chunks are of whole sentences; one closes once it has more than ``limit`` tokens.
     """
     kept = tokens.where(F.col("token").isNotNull() & ~F.col("token").rlike(skipped))
     sizes = tokens.groupBy("text_id", "sent_idx").agg(F.count_if(F.col("token").isNotNull() & ~F.col("token").rlike(skipped)).cast("int").alias("n"))
     groups = reset_groups(sizes, ["text_id"], ["sent_idx"], "n", chunk_rule(limit)).select("text_id", "sent_idx", "group_id")
-    named = kept.join(groups, ["text_id", "sent_idx"]).select("text_id", F.concat("text_id", F.lit("-chunk-"), F.lpad((F.col("group_id") + 1).cast("string"), 3, "0")).alias("chunk_id"), F.lower("token").alias("term"))
-    return named.groupBy("text_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    named = kept.join(groups, ["text_id", "sent_idx"]).select("text_id", F.concat("text_id", F.lit("-chunk-"), F.lpad((F.col("group_id") + 1).cast("string"), 3, "0")).alias("chunk_id"), F.lower("token").alias("term"), *also)
+    return named.groupBy("text_id", "chunk_id", "term", *also).agg(F.count(F.lit(1)).alias("n"))

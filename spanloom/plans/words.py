@@ -65,6 +65,12 @@ def sequence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("text_id", "part", F.array_join(arrays.padded(F.transform("tokens", lambda t: F.length(t)), 3).cast("array<string>"), ",").alias("lengths"))
 
 
+def rejoined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sequences(spark, sf_dir).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "token_idx", "token"))).alias("x"))
+    parts = rows.select("text_id", F.posexplode(arrays.parts_of(F.col("x.token"), 5)).alias("part", "tokens"))
+    return arrays.joined_parts(parts, ["text_id"], "part", "tokens").select("text_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.script_ranges(table(spark, sf_dir, "documents"), "text", script_table(spark), "doc_id")
 
@@ -120,7 +126,8 @@ SELECT text_id, sent_idx, '-100,' || string_agg(c || repeat(',-100', n - 1), ','
     "top_labels": f"""{with_(SEQUENCES)}, n AS (SELECT text_id, count(*) FILTER (gold = 'A') AS a, count(*) FILTER (gold = 'O') AS o, count(*) FILTER (gold = 'R') AS r FROM seq GROUP BY 1)
 SELECT text_id, CASE WHEN r > a THEN 'R=' || r || '.0|A=' || a || '.0' ELSE 'A=' || a || '.0|R=' || r || '.0' END AS top, CASE WHEN r > o THEN 2 ELSE 1 END AS best, concat_ws('|', CASE WHEN a > 1.5 THEN 'A' END, CASE WHEN o > 1.5 THEN 'O' END, CASE WHEN r > 1.5 THEN 'R' END) AS above FROM n""",
     "sequence_parts": f"""{with_(SEQUENCES)}, p AS (SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY sent_idx, token_idx) - 1 AS i, length(token) AS n FROM seq), g AS (SELECT text_id, CAST(i // 3 AS INT) AS part, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS l, count(*) AS c FROM p GROUP BY 1, 2) SELECT text_id, part, l || repeat(',0', 3 - c) AS lengths FROM g""",
+    "rejoined_parts": f"{with_(SEQUENCES)} SELECT text_id, string_agg(token, ' ' ORDER BY sent_idx, token_idx) AS tokens FROM seq GROUP BY 1",
     "script_counts": f"WITH {_SCRIPT} SELECT * FROM counted",
     "majority_scripts": f"WITH {_SCRIPT} SELECT doc_id, first(script ORDER BY script = 'Common', n DESC, script) AS script FROM counted GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (fertility, fertility_by_label, subword_labels, word_labels, top_labels, sequence_parts, script_counts, majority_scripts, edit_scripts, lemma_rules, viterbi_bio, mst_heads, prose_paragraphs)}
+QUERIES = {f.__name__: f for f in (fertility, fertility_by_label, subword_labels, word_labels, top_labels, sequence_parts, rejoined_parts, script_counts, majority_scripts, edit_scripts, lemma_rules, viterbi_bio, mst_heads, prose_paragraphs)}

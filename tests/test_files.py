@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from spanloom.operators.labels import iob2_stacked, parse_labels, tag_columns
+from spanloom.operators.labels import barred, iob2_stacked, parse_labels, tag_columns
 from spanloom.sources import readers, writers
 from spanloom.sources.prose import paragraphs, prose_of
 
@@ -93,6 +93,7 @@ def test_scores_and_merging(spark, tmp_path):
 def test_stacked_labels(spark):
     rows = [("t", 1, 1, "A[1]|B[2]"), ("t", 1, 2, "B[2]|A[1]"), ("t", 1, 3, "A[3]"), ("t", 2, 1, "A[3]"), ("t", 2, 2, "_")]
     df = spark.createDataFrame(rows, "text_id string, sent_idx int, token_idx int, labels string").withColumn("p", parse_labels(F.col("labels"), ["A", "B"]))
+    assert [r[0] for r in df.orderBy("sent_idx", "token_idx").select(barred(F.col("p"))).collect()] == ["A[1]|B[2]", "A[1]|B[2]", "A[3]", "A[3]", "_"]
     show = lambda mode: [(r.label_0, r.label_1) for r in iob2_stacked(df, "p", tag_columns(["A", "B"], "MULTITASK"), mode).orderBy("sent_idx", "token_idx").collect()]
     assert show("corrected") == [("B-A", "B-B"), ("I-A", "I-B"), ("B-A", "O"), ("B-A", "O"), ("O", "O")]
     assert show("faithful") == [("B-A", "O"), ("I-A", "O"), ("B-A", "O"), ("B-A", "O"), ("O", "O")]

@@ -113,3 +113,25 @@ def test_packed_batches_like_a_walk(spark):
                 got = {(r.g, r.o): r.batch_id for r in sequences.packed_batches(df, ["g"], ["o"], "n", limit, words, mode, section=section).collect()}
                 assert got == walked, (mode, limit, words, section)
     assert sequences.packed_batches(df.limit(0), ["g"], ["o"], "n", 4, 20).count() == 0
+
+
+def test_samples_by_rank(spark):
+    import hashlib
+
+    rows = [(g, f"t{i}", i) for g in ("a", None) for i in range(300)] + [("b", "t", 1)]
+    df = spark.createDataFrame(rows, "g string, text_id string, sent_idx int")
+    for by in ((), ("g",)):
+        want = set()
+        for g in {r[0] if by else 0 for r in rows}:
+            mine = sorted(((hashlib.md5(f"5|{t}|{i}".encode()).hexdigest(), t, i, x) for x, t, i in rows if not by or x == g), key=lambda r: r[:3])
+            want |= {(x, t, i) for _, t, i, x in mine[: int(0.3 * len(mine))]}
+        got = [(r.g, r.text_id, r.sent_idx) for r in folds.downsample(df, 0.3, 5, *by, digits=1).collect()]
+        assert len(got) == len(want) if by else len(got) == int(0.3 * len(rows))
+        if by:
+            assert set(got) == want
+
+
+def test_terms_told_apart(spark):
+    tokens = spark.createDataFrame([("t", 1, 1, "See", "see", "VERB"), ("t", 1, 2, "see", "sea", "NOUN"), ("t", 1, 3, "see", "see", "VERB"), ("t", 1, 4, ",", ",", "X")], "text_id string, sent_idx int, token_idx int, token string, lemma string, pos string")
+    got = {(r.term, r.lemma, r.pos, r.n) for r in sequences.chunk_terms(tokens, 10, also=("lemma", "pos")).collect()}
+    assert got == {("see", "see", "VERB", 2), ("see", "sea", "NOUN", 1)}
