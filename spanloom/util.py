@@ -51,8 +51,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out to all cores if a scan gives fewer partitions than there are cores, as files of one row group do; else as it is."""
+    """``df``, dealt out to all cores if it is a scan of fewer partitions than there are cores, as files of one row group give; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # to count its partitions would run it
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
