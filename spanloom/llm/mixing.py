@@ -25,7 +25,7 @@ from spanloom.util import checkpointed, lookup_rows
 SAMPLE = 3000
 WIDTH = 2048
 #: Steps at most, beyond which the fit raises; and the change of all rates below which it rests.
-STEPS, REST = 100_000, 1e-9
+STEPS, REST = 1_000_000, 1e-8
 #: Sources at most: pairs of them are summed.
 SOURCES = 1000
 #: The share by which a source may fall short of its target and still counts as served.
