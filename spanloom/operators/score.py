@@ -110,10 +110,11 @@ def token_counts(df: DataFrame, gold: str, pred: str, merge: bool = True) -> Dat
     name = lambda c: F.regexp_replace(c, "^I-", "B-") if merge else F.col(c)
     rows = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).select(name(gold).alias("g"), name(pred).alias("p"))
     pairs = rows.groupBy("g", "p").count()  # all later steps are over pairs of labels
-    hit = F.when(F.col("g") == F.col("p"), F.col("count")).otherwise(0)
-    gold_side = pairs.groupBy(F.col("g").alias("label")).agg(F.sum(hit).alias("tp"), F.sum(F.lit(0)).alias("fp"), F.sum(F.col("count") - hit).alias("fn"))
-    pred_side = pairs.groupBy(F.col("p").alias("label")).agg(F.sum(F.lit(0)).alias("tp"), F.sum(F.col("count") - hit).alias("fp"), F.sum(F.lit(0)).alias("fn"))
-    return gold_side.unionByName(pred_side).groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col("g") == F.col("p"), F.col("count")).otherwise(zero)
+    miss = F.col("count") - hit
+    sides = F.array(F.struct(F.col("g").alias("label"), hit.alias("tp"), zero.alias("fp"), miss.alias("fn")), F.struct(F.col("p").alias("label"), zero.alias("tp"), miss.alias("fp"), zero.alias("fn")))
+    return pairs.select(F.inline(sides)).groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -152,8 +153,13 @@ def f1_binary(counts: DataFrame, positive: str) -> DataFrame:
 
 def span_counts(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
     """One row of tp, fp, fn of two sets of spans, with precision, recall and f1."""
-    rows = gold.select(*key, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(*key, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    per = rows.groupBy(*key).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    side = lambda df, name: df.select(*key, F.lit(name).alias("side"))
+    return side_counts(side(gold, "gold").unionByName(side(pred, "pred")), key)
+
+
+def side_counts(spans: DataFrame, key: list[str], gold: str = "gold") -> DataFrame:
+    """span_counts of spans with ``side``, those of ``gold`` against all others."""
+    per = spans.groupBy(*key).agg(F.max((F.col("side") == gold).cast("int")).alias("g"), F.max((F.col("side") != gold).cast("int")).alias("p"))
     add = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return rates(per.agg(add(F.col("g") * F.col("p")).alias("tp"), add((1 - F.col("g")) * F.col("p")).alias("fp"), add(F.col("g") * (1 - F.col("p"))).alias("fn")))
 

@@ -39,27 +39,31 @@ def token_spans(df: DataFrame, label: str, mode: str = "corrected", key: tuple[s
     return spans
 
 
+def by_side(df: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """(text_id, sent_idx, token_idx, token, side, l): the label columns of ``df`` below each other, with the name that ``sides`` gives each."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("side"), F.col(column).alias("l")) for name, column in sides.items())))
+    return df.select(*SENTENCE, "token_idx", "token", pairs.alias("p")).select(*SENTENCE, "token_idx", "token", "p.side", "p.l")
+
+
 def spans_of_sides(df: DataFrame, sides: dict[str, str]) -> DataFrame:
     """token_spans of several label columns in one pass: with ``side``, the name that ``sides`` gives the column."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("side"), F.col(column).alias("l")) for name, column in sides.items())))
-    rows = df.select(*SENTENCE, "token_idx", "token", pairs.alias("p")).select(*SENTENCE, "token_idx", "token", "p.side", "p.l")
-    return token_spans(rows, "l", key=(*SENTENCE, "side"))
+    return token_spans(by_side(df, sides), "l", key=(*SENTENCE, "side"))
 
 
-def begin_spans(df: DataFrame, label: str, mode: str = "corrected") -> DataFrame:
+def begin_spans(df: DataFrame, label: str, mode: str = "corrected", key: tuple[str, ...] = SENTENCE) -> DataFrame:
     """(text_id, sent_idx, start, end, label) as the span score reads labels: each B with the I after it, whatever their type.
 
     Positions count from 0. ``end`` is the first position that is not I. In "faithful" mode a span that reaches the last token ends there
-    all the same, so ``B I`` and ``B O`` at the end of a sentence give one key.
+    all the same, so ``B I`` and ``B O`` at the end of a sentence give one key. ``key`` as in token_spans.
     """
-    over = W.partitionBy(*SENTENCE).orderBy("token_idx")
+    over = W.partitionBy(*key).orderBy("token_idx")
     lab = F.coalesce(F.col(label), F.lit("O"))
-    rows = df.select(*SENTENCE, "token_idx", lab.alias("l"), (F.row_number().over(over) - 1).alias("p"))
-    after = W.partitionBy(*SENTENCE).orderBy("token_idx").rowsBetween(1, W.unboundedFollowing)
-    stop = F.min(F.when(~F.col("l").startswith("I"), F.col("p"))).over(after)
-    last = F.max("p").over(W.partitionBy(*SENTENCE))
+    rows = df.select(*key, "token_idx", lab.alias("__l"), (F.row_number().over(over) - 1).alias("p"))
+    after = W.partitionBy(*key).orderBy("token_idx").rowsBetween(1, W.unboundedFollowing)
+    stop = F.min(F.when(~F.col("__l").startswith("I"), F.col("p"))).over(after)
+    last = F.max("p").over(W.partitionBy(*key))
     end = F.coalesce(stop, last if mode == "faithful" else last + 1)
-    return rows.select(*SENTENCE, F.col("p").alias("start"), end.alias("end"), F.substr("l", F.lit(3)).alias("label"), "l").where(F.col("l").startswith("B")).drop("l")
+    return rows.select(*key, F.col("p").alias("start"), end.alias("end"), F.substr("__l", F.lit(3)).alias("label"), "__l").where(F.col("__l").startswith("B")).drop("__l")
 
 
 def inclusive_spans(df: DataFrame, label: str, ignored: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import score
 from spanloom.operators.match import overlap_join
-from spanloom.operators.spans import begin_spans
+from spanloom.operators.labels import SENTENCE
+from spanloom.operators.spans import begin_spans, by_side
 from spanloom.plans.adapters import SEQUENCES, keyed_spans, labelled, side_spans, spans_of, spans_sql, with_
 from spanloom.plans.spans import BOTH, PAIRS
 
@@ -145,8 +146,8 @@ SPAN_KEY = ["text_id", "sent_idx", "start", "end", "label"]
 
 
 def _span_f1(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    return rounded(score.span_counts(begin_spans(rows, "gold_bio", mode), begin_spans(rows, "a_bio", mode), SPAN_KEY))
+    rows = by_side(labelled(spark, sf_dir), {"gold": "gold_bio", "a": "a_bio"})
+    return rounded(score.side_counts(begin_spans(rows, "l", mode, (*SENTENCE, "side")), SPAN_KEY))
 
 
 def span_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
