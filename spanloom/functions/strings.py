@@ -253,13 +253,37 @@ def apply_rule_to(form: pd.Series, rule: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else apply_rule(a, b) for a, b in zip(form, rule)], dtype=object)
 
 
+def best_batch(scores: np.ndarray, steps: np.ndarray, penalty: float = -10_000.0) -> np.ndarray:
+    """The best label path of each of many sentences of one length: ``scores`` are sentences × tokens × labels. As best_paths for each."""
+    many, n, width = scores.shape
+    if n == 0:
+        return np.zeros((many, 0), np.int64)
+    move = np.where(steps, 0.0, penalty)
+    value, back = scores[:, 0] + move[width, :width], []
+    for t in range(1, n):
+        options = value[:, :, None] + move[None, :width, :width]
+        back.append(options.argmax(1))
+        value = options.max(1) + scores[:, t]
+    path = [(value + move[:width, width + 1]).argmax(1)]
+    for origin in reversed(back):
+        path.append(np.take_along_axis(origin, path[-1][:, None], 1)[:, 0])
+    return np.stack(path[::-1], 1)
+
+
 def best_path_of(labels: list[str], scheme: str = "BIO"):
-    """A function of a column array<array<double>> (tokens × labels) that gives the best path as array<string>."""
-    steps = allowed_steps(labels, scheme)
+    """A function of a column array<array<double>> (tokens × labels) that gives the best path as array<string>. Sentences of a batch that have one length are walked together."""
+    steps, width, names = allowed_steps(labels, scheme), len(labels), np.array(labels, object)
 
     @F.pandas_udf(ArrayType(StringType()))
     def path(scores: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else [labels[i] for i in best_paths(np.array([list(x) for x in s], float).reshape(-1, len(labels)), steps)[0][0]] for s in scores], dtype=object)
+        out: list[list[str] | None] = [None if s is None else [] for s in scores]
+        sizes = np.array([0 if s is None else len(s) for s in scores])
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            flat = np.concatenate([row for i in at for row in scores.iloc[i]]).astype(float)
+            for i, p in zip(at, best_batch(flat.reshape(len(at), n, width), steps)):
+                out[i] = names[p].tolist()
+        return pd.Series(out, dtype=object)
 
     return path
 
