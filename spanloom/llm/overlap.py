@@ -34,11 +34,11 @@ HOT, LEVELS = 1000, 4
 
 
 def canonical(token: str) -> str | None:
-    """``token`` without case, accents and spaces at its ends; None if it has no letter or digit."""
+    """``token`` in lower case, without accents and without U+0020 at its ends; None if it has no letter or digit. A long s is a letter of its own, as lower case leaves it."""
     if not any(c.isalnum() for c in token):
         return None
-    plain = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
-    return unicodedata.normalize("NFC", plain.casefold()).strip()
+    plain = "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFC", plain).strip(" ")
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
