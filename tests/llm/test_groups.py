@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from spanloom.llm.groups import allotted, assign_groups, text_groups
+from spanloom.llm.groups import allotted, assign_groups, components, text_groups
 
 META = "text_id string, author_id string, work_id string, n int, key string"
 
@@ -82,3 +82,16 @@ def test_allotted():
     assert allotted([(0, 10, 10)], [0.5, 0.3, 0.2])[0][:2] == [5, 8]
     assert allotted([(5, 1, 6), (0, 4, 4)], [0.6, 0.2, 0.2]) == {5: [6.0, 6.0, float("inf")], 0: [0.0, 2.0, float("inf")]}
     assert allotted([(0, 3, 3)], [None, 0.0, 1.0])[0][:2] == [0.0, 0.0] and allotted([(0, 3, 3)], [0.0, 0.0])[0][0] == 3
+
+
+def test_components_whatever_is_small(spark):
+    draw = random.Random(12)
+    edges = {tuple(sorted(draw.sample(range(400), 2))) for _ in range(330)}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    want = joined([(str(v), None, f"{a}-{b}") for a, b in edges for v in (a, b)])
+    for small in (0, 60, 10**6):
+        got = components(df, small=small).collect()
+        roots = {r.vertex: r.root for r in got}
+        assert len(got) == len(roots) == len(want)
+        assert {(roots[a], want[str(a)]) for a in roots}.__len__() == len(set(want.values())) == len(set(roots.values()))
+    assert components(df.limit(0)).count() == 0
