@@ -6,7 +6,7 @@ Cleaning, splitting and rendering are expressions of columns. The label pipeline
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -26,6 +26,18 @@ KANA = ("Hiragana", "Katakana")
 MODEL = "piece_bpe_32k.model"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is made once; within the lambdas of ``use`` its expression would be made again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of ``sizes``, whole numbers from 0, up to each, in time that grows as their total. Null if one of them is null."""
+    marks = F.flatten(F.transform(sizes, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    # a mark comes after its sum and the marks before it
+    return F.transform(F.filter(F.transform(marks, lambda m, p: F.when(m, p)), lambda p: p.isNotNull()), lambda p, i: p - i)
+
+
 def plain_spaces(text: Column) -> Column:
     """Any white space as a blank, then each pair of blanks as one, from the left, once."""
     return F.replace(F.regexp_replace(text, BLANKS, " "), F.lit("  "), F.lit(" "))
@@ -77,10 +89,30 @@ def with_blanks(word: Column, places: Column) -> Column:
 
 
 def rendered_splits(subwords: Column, places: Column) -> Column:
-    """Each subword with a blank at those of ``places``, counted in characters over all subwords, that lie within it."""
-    start = lambda i: F.aggregate(F.slice(subwords, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    inner = lambda x, i: F.filter(F.transform(F.array_sort(places), lambda p: p - start(i)), lambda p: (p > 0) & (p < F.length(x)))
-    return F.transform(subwords, lambda x, i: with_blanks(x, inner(x, i)))
+    """Each subword with a blank at those of ``places``, counted in characters over all subwords, that lie within it.
+
+    Each subword's places are a slice of all, found by how many places come before its characters; to search them for each subword would take the square of a sentence's length.
+    """
+
+    def looked_up(ends: Column) -> Column:
+        total = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0))
+        inner = F.sort_array(F.filter(places, lambda p: (p > 0) & (p < total)))
+        return once(F.struct(ends.alias("ends"), inner.alias("places"), total.alias("total")), lambda v: once(F.struct(v["ends"].alias("ends"), v["places"].alias("places"), before(v["places"], v["total"]).alias("before")), rendered))
+
+    def before(inner: Column, total: Column) -> Column:  # of each character: how many places are not after its begin
+        steps = F.arrays_zip(F.concat(inner, F.array(total)).alias("to"), F.concat(F.array(F.lit(0)), inner).alias("from"))
+        return F.flatten(F.transform(steps, lambda s, n: F.array_repeat(n, s["to"] - s["from"])))
+
+    def rendered(v: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            end = F.get(v["ends"], i)
+            start = end - F.length(x)
+            low, high = F.get(v["before"], start), F.get(v["before"], end - 1)
+            return F.when(F.length(x) < 2, x).otherwise(with_blanks(x, F.transform(F.slice(v["places"], low + 1, high - low), lambda p: p - start)))
+
+        return F.transform(subwords, one)
+
+    return once(running_sums(F.transform(subwords, F.length)), looked_up)
 
 
 def split_marks(offsets: Column, size: Column) -> Column:
@@ -179,9 +211,8 @@ def subword_rows(df: DataFrame, key: list[str], text: str, splits: dict[str, str
 
 
 def word_places(words: Column) -> Column:
-    """Where each of ``words`` ends, in characters over all; blanks don't count."""
-    sizes = F.transform(words, lambda w: F.length(F.replace(w, F.lit(" "), F.lit(""))))
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    """Where each of ``words`` ends, in characters over all; blanks don't count. Null if one of them is null."""
+    return running_sums(F.transform(words, lambda w: F.length(F.replace(w, F.lit(" "), F.lit("")))))
 
 
 def learned_splits(rows: DataFrame, gold: str) -> DataFrame:

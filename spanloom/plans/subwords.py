@@ -32,8 +32,7 @@ def _cut_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their words, their characters in stand-in subwords of CUT, and where words and subwords end."""
     rows = text_tokens(spark, sf_dir).where("length(replace(token, ' ', '')) > 0").groupBy("text_id", "sent_idx").agg(F.sort_array(F.collect_list(F.struct("token_idx", "token"))).alias("x"))
     rows = rows.select("text_id", "sent_idx", F.transform("x", lambda x: F.replace(x["token"], F.lit(" "), F.lit(""))).alias("words"))
-    chars = F.array_join("words", "")
-    rows = rows.withColumn("subwords", F.transform(F.sequence(F.lit(0), F.ceil(F.length(chars) / CUT).cast("int") - 1), lambda i: F.substring(chars, i * CUT + 1, F.lit(CUT))))
+    rows = rows.withColumn("subwords", F.regexp_extract_all(F.array_join("words", ""), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
     return rows.withColumn("gold", subwords.word_places(F.col("words"))).withColumn("found", subwords.word_places(F.col("subwords")))
 
 

@@ -2,12 +2,14 @@
 
 import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.strings import edit_script
 from spanloom.operators import arrays, folds, subwords
+from spanloom.plans.subwords import split_rendering
 
 
 def column(spark, value, kind, made):
@@ -26,6 +28,37 @@ def test_cleaning_and_splits(spark):
     assert subwords.tokenizer_kind(["te", "##st"]) == "wordpiece" and subwords.tokenizer_kind(["▁te"]) == "sentencepiece" and subwords.tokenizer_kind(["te"]) == "other"
 
 
+def test_rendering_of_a_long_sentence(spark, tmp_path):
+    n = 2000
+    rows = spark.range(n).selectExpr("id AS anno_id", "'t' AS text_id", "'en' AS lang", "1 AS sent_idx", "int(id) + 1 AS token_idx", "concat('é😀', id % 1000) AS token", "timestamp'2024-01-01' AS edited_at")
+    rows.write.parquet(f"{tmp_path}/annotation.parquet")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # 2 seconds, but minutes if each subword looks through all places
+    late.start()
+    try:
+        got = split_rendering(spark, str(tmp_path)).collect()
+    finally:
+        late.cancel()
+    words = [f"é😀{i % 1000}" for i in range(n)]
+    begins = {sum(map(len, words[:i])) for i in range(n)}
+    assert [r.rendered for r in got] == ["".join(("|" if i % 5 == 0 and i else " " if i in begins and i else "") + c for i, c in enumerate("".join(words)))]
+
+
+def test_rendering_as_a_walk(spark):
+    draw, cases = random.Random(2), []
+    for _ in range(200):
+        cases.append((["".join(draw.choice("ab é😀\n") for _ in range(draw.choice([0, 1, 2, 5, 9]))) for _ in range(draw.randint(0, 9))], [draw.choice([None, *range(-2, 30)]) for _ in range(draw.randint(0, 12))]))
+    got = spark.createDataFrame(cases, "w array<string>, p array<int>").select("w", "p", subwords.rendered_splits(F.col("w"), F.col("p")).alias("r"), subwords.word_places(F.col("w")).alias("e")).collect()
+    for row in got:
+        start, want = 0, []
+        for x in row.w:
+            shown = x
+            for i in sorted((p - start for p in row.p if p is not None and start < p < start + len(x)), reverse=True):
+                shown = shown[:i] + " " + shown[i:]
+            want.append(shown)
+            start += len(x)
+        assert row.r == want and row.e == [sum(len(x.replace(" ", "")) for x in row.w[: i + 1]) for i in range(len(row.w))]
+
+
 def test_edits_over_subwords(spark):
     draw = random.Random(1)
     for _ in range(300):
